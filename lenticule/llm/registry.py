@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, pii, simhash
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -20,9 +21,15 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op6_personal_data": op6_personal_data,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
