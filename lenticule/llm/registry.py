@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, simhash
+from . import bpe, decontaminate, exact_dedup, pii, simhash, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -52,14 +52,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, body, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, CAST(i // 4 AS INT) * 5 + 1, 5))::INT >> (15 - 5 * CAST(i % 4 AS INT))) & 31) + 1, 1)), 'string_agg', '') AS digest FROM p
+), g AS (SELECT body, min(page_id) AS original FROM p GROUP BY body)
+SELECT page_id, CAST(strlen(d.body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d JOIN g USING (body)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_personal_data": op6_personal_data,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op10_warc_revisits": OP10_SQL,
 }
