@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, simhash, warc
+from . import bpe, decontaminate, exact_dedup, pii, simhash, toxicity, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def held_out(key: str, parts: int, rest: int) -> Column:
+    """Rows that training must not see: crc32 of the key as text leaves ``rest``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame, config: toxicity.ToxicityConfig = toxicity.ToxicityConfig()) -> toxicity.ToxicityModel:
+    texts, marks = toxicity.labelled_sample(documents, labels, "toxic", ~held_out("doc_id", 4, 2), "doc_id", "text", config.train_rows, config.train_bytes)
+    return toxicity.train(texts, marks, config)
+
+
+TOXIC_FROM = 0.3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity_model(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(documents, model)
+    out = F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -74,6 +95,7 @@ FROM d JOIN g USING (body)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_personal_data": op6_personal_data,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
