@@ -115,8 +115,8 @@ def train(texts: list[bytes], labels: np.ndarray, c: ToxicityConfig = ToxicityCo
         if y:
             toxic.update(found)
     base = labels.mean()
-    # evidence is for toxicity only, so features that are no commoner among toxic texts can't have a weight
-    code = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n >= c.least_documents and toxic[f] > base * n))}
+    # evidence is for toxicity only, so features that are not clearly commoner among toxic texts get no weight
+    code = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n >= c.least_documents and toxic[f] > base * n + 3 * (base * n) ** 0.5))}
     owner, feats, of_feat = [], [], []
     for d, sentences in enumerate(split):
         for words in sentences:
