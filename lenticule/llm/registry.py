@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, simhash, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, token_counts, toxicity, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -41,6 +41,15 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, config: toxicity.Tox
 
 
 TOXIC_FROM = 0.3
+GOOD_FROM = 0.3
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, config = table(spark, sf_dir, "documents"), quality.QualityConfig()
+    texts, marks = toxicity.labelled_sample(documents, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 5, 0), "doc_id", "text", config.train_rows, config.train_bytes)
+    scored = quality.score_documents(documents, quality.train(texts, marks, config))
+    out = F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "n_bad_lines")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +82,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_by_section(table(spark, sf_dir, "documents"), by="line", rule="first", vocabulary=BPE_VOCABULARY)
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -94,11 +107,13 @@ FROM d JOIN g USING (body)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_personal_data": op6_personal_data,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_token_counts": op9_token_counts,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
