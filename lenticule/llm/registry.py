@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, token_counts, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, config: toxicity.Tox
     return toxicity.train(texts, marks, config)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.3
 
@@ -107,6 +111,7 @@ FROM d JOIN g USING (body)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
