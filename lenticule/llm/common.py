@@ -9,8 +9,8 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
 
@@ -59,7 +59,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with the package's sources at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -67,17 +67,3 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def slices(batch: pa.RecordBatch, text_col: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no slice holds much more than ``limit`` bytes of text (one row at least)."""
-    sizes = batch.column(text_col)
-    start = total = 0
-    lengths = pa.compute.binary_length(sizes).to_pylist()
-    for i, n in enumerate(lengths):
-        if i > start and total + (n or 0) > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n or 0
-    if start < batch.num_rows:
-        yield batch.slice(start)

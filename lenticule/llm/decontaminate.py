@@ -231,8 +231,8 @@ def _search(index: DataFrame, plan: list[tuple], kind: str, key: str, slop: int
 
 def clean_documents(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose key has no hit, with all their columns."""
-    dirty = find_contamination(df, benchmark, key, text).filter(F.size("hits") > 0).select(key).distinct()
-    return df.join(dirty, key, "left_anti").select(df.columns)
+    dirty = find_contamination(df, benchmark, key, text).filter(F.size("hits") > 0).select(F.col(key).alias("__dirty")).distinct()
+    return df.join(dirty, df[key].eqNullSafe(dirty["__dirty"]), "left_anti")
 
 
 def brute_force(documents: list[tuple], items: list[tuple], size: int = WINDOW) -> dict:

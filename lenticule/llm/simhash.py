@@ -200,3 +200,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(key, "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``df`` whose key is the smallest of its component, with all their columns."""
+    found = near_duplicates(df, key, text, words, budget)
+    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")

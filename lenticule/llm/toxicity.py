@@ -201,3 +201,16 @@ def score_documents(df: DataFrame, model: ToxicityModel, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, shape)], names=[key, "score", "offending"])
 
     return map_rows(df.select(key, text), run, f"`{key}` {kind}, score double, offending array<struct<start:int,end:int,score:double>>")
+
+
+def keep_below(df: DataFrame, model: ToxicityModel, limit: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score below ``limit``, with all their columns; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = model.word_weights()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            keep = [model.document([z for *_, z in model.sentences((t.as_py() or "").encode("utf-8"), weight)]) < limit for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(df, run, df.schema)

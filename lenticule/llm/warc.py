@@ -66,7 +66,7 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", payload: str
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id"), F.lit(">"))),
-        line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("original").cast("string"), F.lit(">"))),
