@@ -168,11 +168,18 @@ def mat_mat(a: Column, b: Column) -> Column:
     return F.transform(a, lambda row: mat_vec(columns, row))
 
 
-def se3_distance(ta: Column, qa: Column, tb: Column, qb: Column, alpha: float = 1.0) -> Column:
-    """Of two poses: translations are structs (x, y, z), rotations unit quaternions."""
-    turn = quat_log(quat_relative(qb, qa))
+def with_se3_distance(poses: DataFrame, alpha: float = 1.0, names: tuple[str, str, str, str] = ("ta", "qa", "tb", "qb")) -> DataFrame:
+    """Add the distance of two poses: translations are structs (x, y, z), rotations unit quaternions.
+
+    Each step is a projection of its own, which keeps the expressions from growing into each other.
+    """
+    ta, qa, tb, qb = (F.col(n) for n in names)
+    held = poses.withColumn("__turn", quat_relative(qb, qa))
+    size = F.sqrt(F.col("__turn.x") * F.col("__turn.x") + F.col("__turn.y") * F.col("__turn.y") + F.col("__turn.z") * F.col("__turn.z"))
+    # the length of the rotation vector is the angle itself
+    held = held.withColumn("__angle", 2.0 * F.atan2(size, F.abs(F.col("__turn.w"))))
     move = sum(((tb[c] - ta[c]) * (tb[c] - ta[c]) for c in "xyz"), F.lit(0.0))
-    return F.sqrt(move + F.lit(alpha) * (turn["x"] * turn["x"] + turn["y"] * turn["y"] + turn["z"] * turn["z"]))
+    return held.withColumn("distance", F.sqrt(move + F.lit(alpha) * F.col("__angle") * F.col("__angle"))).drop("__turn", "__angle")
 
 
 def frame_delays(steps: DataFrame, key: str, pos: str, distance: str, period: int = 400, least: int = 20) -> DataFrame:

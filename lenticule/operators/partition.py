@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,length:int>>"
-
 
 def run_lengths(series: DataFrame, by: list[str], pos: str, flag: Column) -> DataFrame:
     """Gaps and islands: one row (flag, start, length) for each run of equal flags."""
@@ -37,26 +35,36 @@ def threshold_partition(series: DataFrame, frames: int, key: str = "key", pos: s
         F.min(F.when(F.col("__rank") == F.floor(F.col("n") / 2), F.col("v"))).alias("median"),
     )
     facts = facts.filter((F.lit(frames) >= 2) & (F.col("n") >= 20 * frames) & (F.col("high") > F.col("low")))
-    pitch = F.col("n") / frames
-    facts = facts.withColumn("pitch", pitch).withColumn("t", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
-    # one row for each position and threshold of the key: at most 255 thresholds
-    joined = ranked.select(key, "pos", "v").join(facts, key)
-    runs = run_lengths(joined, [key, "t"], "pos", F.col("v") >= F.col("t"))
-    rows = runs.groupBy(key, "t").agg(F.array_sort(F.collect_list(F.struct("start", "length", "flag"))).alias("runs"))
-    rows = rows.join(facts, [key, "t"])
-    frame_ok = lambda x: (x["length"] >= 0.65 * F.col("pitch")) & (x["length"] <= 1.35 * F.col("pitch"))
+    facts = facts.join(ranked.filter("pos = 0").select(key, F.col("v").alias("start_v")), key)
+    facts = facts.withColumn("pitch", F.col("n") / frames).withColumn("t", F.explode(F.sequence(F.col("low") + 1, F.col("high"))))
+    # runs change between neighbours at the thresholds over the smaller and up to the larger; counting where that begins and
+    # ends gives the number of changes at every threshold without a row for each position and threshold
+    before = F.lag("v").over(whole.orderBy("pos"))
+    steps = ranked.select(key, "pos", F.least("v", before).alias("lo"), F.greatest("v", before).alias("hi"), before.alias("b")).filter("b is not null and lo < hi").drop("b")
+    marks = steps.select(key, F.explode(F.array(F.struct((F.col("lo") + 1).alias("t"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("t"), F.lit(-1).alias("d")))).alias("m"))
+    marks = marks.groupBy(key, "m.t").agg(F.sum("m.d").alias("d"))
+    upward = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    changes = facts.join(marks, [key, "t"], "left").withColumn("changes", F.sum(F.coalesce("d", F.lit(0))).over(upward)).drop("d")
+    likely = changes.filter((F.col("changes") == 2 * frames - 2) & (F.col("start_v") >= F.col("t")))
+    cuts = steps.join(likely, key).filter("lo < t and t <= hi")
+    same = [key, "t", "n", "pitch", "low", "median"]
+    rows = cuts.groupBy(*same).agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("cuts"))
+    edges = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(F.col("n").cast("int")))
+    rows = rows.withColumn("edges", edges).withColumn("sign", F.transform(F.slice("edges", 2, 2 * frames - 1), lambda x, i: x - F.element_at("edges", i + 1)))
     gap_low = F.greatest(F.round(0.008 * F.col("pitch")), F.lit(4.0))
     gap_high = F.greatest(F.round(0.10 * F.col("pitch")), F.lit(8.0))
-    gap_ok = lambda x: (x["length"] >= gap_low) & (x["length"] <= gap_high)
-    fits = (F.size("runs") == 2 * frames - 1) & F.forall("runs", lambda x: F.when(x["flag"], frame_ok(x)).otherwise(gap_ok(x))) & (F.col("runs")[0]["flag"])
-    fit = rows.filter(fits).withColumn("sign", F.transform("runs", lambda x: x["length"]))
+    fits = F.lit(True)
+    for i in range(2 * frames - 1):
+        size = F.col("sign")[i]
+        fits = fits & (size.between(gap_low, gap_high) if i % 2 else size.between(0.65 * F.col("pitch"), 1.35 * F.col("pitch")))
+    fit = rows.filter(fits)
     fit = fit.withColumn("times", F.count("*").over(Window.partitionBy(key, "sign")))
     stats = Window.partitionBy(key)
     fit = fit.withColumn("lowest", F.min("t").over(stats)).withColumn("highest", F.max("t").over(stats))
     order = Window.partitionBy(key).orderBy(F.desc(F.col("times") >= 3), F.when(F.col("times") >= 3, 0).otherwise(-F.col("times")), "t")
     best = fit.withColumn("__r", F.row_number().over(order)).filter("__r = 1")
     sure = 2.0 * (F.col("highest") - F.col("lowest") + 1) / F.greatest(F.col("median") - F.col("low"), F.lit(1))
-    spans = F.transform(F.filter("runs", lambda x: x["flag"]), lambda x: F.struct(x["start"].cast("int").alias("start"), x["length"].cast("int").alias("length")))
+    spans = F.array(*(F.struct(F.col("edges")[2 * i].alias("start"), F.col("sign")[2 * i].alias("length")) for i in range(frames)))
     return best.select(key, F.col("t").alias("threshold"), spans.alias("spans"), F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
 
 

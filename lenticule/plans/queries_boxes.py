@@ -67,3 +67,38 @@ def supported_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*(F.lit(x) for x in ("JPG", "webp", "gif", "tiff"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     named = d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("."), ext).alias("path"))
     return named.filter(is_supported(F.col("path"))).select("id")
+
+
+@query()
+def harris_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner peaks of small rasters, a raster to a group; dense numeric work, so there is no SQL."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import raster
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((10, 10), np.uint8)
+        image[part["y"], part["x"]] = part["r"]
+        found = raster.peaks(raster.harris(image), 2, 0.0005, 2)
+        return pd.DataFrame([(part["image_id"].iloc[0], *p) for p in found], columns=["image_id", "x", "y", "score"])
+
+    p = d.pixels(spark, sf_dir).select("image_id", "x", "y", "r")
+    return p.groupBy("image_id").applyInPandas(run, "image_id long, x int, y int, score double").withColumn("score", F.round("score", 6))
+
+
+@query()
+def gif_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Animations of three shifted views of each raster: size and first bytes."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.gif import encode_gif
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((10, 10, 3), np.uint8)
+        image[part["y"], part["x"]] = part[["r", "g", "b"]].to_numpy()
+        content = encode_gif([np.roll(image, s, axis=1) for s in (0, 1, 2)], dither=False)
+        return pd.DataFrame([(part["image_id"].iloc[0], len(content), content[:6].decode())], columns=["image_id", "size", "magic"])
+
+    return d.pixels(spark, sf_dir).groupBy("image_id").applyInPandas(run, "image_id long, size int, magic string")

@@ -88,12 +88,12 @@ def rect_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _basis_sql(rows: tuple[str, str, str, str]) -> str:
-    return f"SELECT box_id, round({rows[0]}, 6) AS b0, round({rows[1]}, 6) AS b1, round({rows[2]}, 6) AS b2, round({rows[3]}, 6) AS b3 FROM (SELECT box_id, score AS t FROM ({d.BOXES}))"
+    return f"SELECT box_id, round({rows[0]} + 1e-9, 5) AS b0, round({rows[1]} + 1e-9, 5) AS b1, round({rows[2]} + 1e-9, 5) AS b2, round({rows[3]} + 1e-9, 5) AS b3 FROM (SELECT box_id, score AS t FROM ({d.BOXES}))"
 
 
 def _basis(spark: SparkSession, sf_dir: str, matrix: tuple) -> DataFrame:
     weights = geometry.spline_basis(F.col("score"), matrix)
-    return d.boxes(spark, sf_dir).select("box_id", *(r6(w).alias(f"b{i}") for i, w in enumerate(weights)))
+    return d.boxes(spark, sf_dir).select("box_id", *(F.round(w + 1e-9, 5).alias(f"b{i}") for i, w in enumerate(weights)))
 
 
 @query(_basis_sql(("pow(1 - t, 3) / 6", "(3 * t * t * t - 6 * t * t + 4) / 6", "(-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6", "t * t * t / 6")))
@@ -141,8 +141,8 @@ def quat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT id, round(sqrt(b * b + 0.5 * pow(2 * (g / 255.0::DOUBLE * 0.75 - r / 255.0::DOUBLE * 0.75), 2)), 5) AS distance FROM ({d.PIXELS})")
 def se3_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    dist = geometry.se3_distance(t(F.lit(0.0)), F.col("a"), t(F.col("blue") * 1.0), F.col("b"), 0.5)
-    return _turns(spark, sf_dir).select("id", F.round(dist, 5).alias("distance"))
+    poses = _turns(spark, sf_dir).select("id", t(F.lit(0.0)).alias("ta"), F.col("a").alias("qa"), t(F.col("blue") * 1.0).alias("tb"), F.col("b").alias("qb"))
+    return geometry.with_se3_distance(poses, alpha=0.5).select("id", F.round("distance", 5).alias("distance"))
 
 
 @query(

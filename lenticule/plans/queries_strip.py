@@ -121,7 +121,7 @@ SELECT key, frame, start, nxt - start AS length, score FROM w JOIN (SELECT key,
 
 
 @query(f"SELECT key, frame, start, length, round(score, 6) AS score FROM ({_GRID})")
-def optimal_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = partition.optimal_grid(d.strips(spark, sf_dir), 3)
     return g.select("key", "frame", "start", "length", F.round("score", 6).alias("score"))
 

@@ -79,7 +79,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.displacements(_triplets(spark, sf_dir))
 
 
-@query(f"{_SURFACE}, r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM bins) SELECT r.bin, round((r.bin + 0.5) * {BIN}, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM bins), 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl USING (bin), ch")
+@query(f"{_SURFACE}, r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM bins) SELECT r.bin, round((r.bin + 0.5) * {BIN}::DOUBLE, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM bins), 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl USING (bin), ch")
 def disparity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = surface.histogram(surface.bin_counts(_points(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
     return h.select("bin", F.round("bin_center", 6).alias("bin_center"), "n", F.round("fraction", 6).alias("fraction"), "selected")
@@ -164,3 +164,13 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY step ROWS UNBOUNDED PREC
 def sample_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = _steps(spark, sf_dir).withColumn("duration", surface.step_duration(F.col("step"), F.lit(100), 80 + F.col("id") % 2, F.lit(120).cast("long")))
     return surface.duration_runs(steps, "id")
+
+
+@query()
+def irls_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera positions of the three views; iterative, so there is no SQL."""
+    from ..operators import extrinsics
+
+    k = d.keypoints(spark, sf_dir)
+    r = extrinsics.estimate(matching.pair_observations(matching.mutual_matches(k, PAIRS), k))
+    return r.select("image_id", F.posexplode(F.arrays_zip("x", "y")).alias("camera", "p"), F.round("rmse_after", 4).alias("rmse")).select("image_id", "camera", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), "rmse")

@@ -28,7 +28,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(is_supported(F.col("path"))).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row for each image file; channels in the order red, green, blue (and alpha). What can't be decoded has ok = false."""
     files = spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), F.col("image").alias("i")).filter(is_supported(F.col("path")))
 
