@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,34 +96,59 @@ def _quat(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.struct(w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there; keeps expressions from growing into each other."""
+    return F.transform(F.array(value), use)[0]
+
+
 def quat_normalize(q: Column) -> Column:
     """Unit quaternion; the identity where the squared norm is 1e-12 or less."""
-    square = q["w"] * q["w"] + q["x"] * q["x"] + q["y"] * q["y"] + q["z"] * q["z"]
-    n = F.sqrt(square)
     one = _quat(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    return F.when(square <= 1e-12, one).otherwise(_quat(q["w"] / n, q["x"] / n, q["y"] / n, q["z"] / n))
+
+    def scaled(v: Column) -> Column:
+        square = v["w"] * v["w"] + v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]
+        return let(F.sqrt(square), lambda n: F.when(n <= 1e-6, one).otherwise(_quat(v["w"] / n, v["x"] / n, v["y"] / n, v["z"] / n)))
+
+    return let(q, scaled)
 
 
 def quat_slerp(a: Column, b: Column, t: Column) -> Column:
     """Between unit quaternions the short way round; linear, then normalised, where they nearly agree."""
-    dot = a["w"] * b["w"] + a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    d = F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(d)
-    near = d > 0.9995
-    s = F.when(near, 1.0).otherwise(F.sin(angle))
-    wa = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / s)
-    wb = F.when(near, t).otherwise(F.sin(t * angle) / s) * sign
-    return quat_normalize(_quat(*(wa * a[c] + wb * b[c] for c in "wxyz")))
+
+    def weights(p: Column) -> Column:
+        dot = p["a"]["w"] * p["b"]["w"] + p["a"]["x"] * p["b"]["x"] + p["a"]["y"] * p["b"]["y"] + p["a"]["z"] * p["b"]["z"]
+
+        def between(d: Column) -> Column:
+            near = F.abs(d) > 0.9995
+            sign = F.when(d < 0, -1.0).otherwise(1.0)
+
+            def mix(angle: Column) -> Column:
+                s = F.when(near, 1.0).otherwise(F.sin(angle))
+                wa = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / s)
+                wb = F.when(near, t).otherwise(F.sin(t * angle) / s) * sign
+                return let(F.struct(wa.alias("a"), wb.alias("b")), lambda w: _quat(*(w["a"] * p["a"][c] + w["b"] * p["b"][c] for c in "wxyz")))
+
+            return let(F.acos(F.least(F.abs(d), F.lit(1.0))), mix)
+
+        return let(dot, between)
+
+    return quat_normalize(let(F.struct(a.alias("a"), b.alias("b")), weights))
 
 
 def quat_log(q: Column) -> Column:
     """Rotation vector: axis times angle; zero for the identity."""
-    n = quat_normalize(q)
-    sign = F.when(n["w"] < 0, -1.0).otherwise(1.0)
-    size = F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"])
-    scale = F.when(size < 1e-6, 2.0).otherwise(2.0 * F.atan2(size, F.abs(n["w"])) / F.when(size < 1e-6, 1.0).otherwise(size)) * sign
-    return F.struct(*((n[c] * scale).alias(c) for c in "xyz"))
+
+    def turned(n: Column) -> Column:
+        size = F.sqrt(n["x"] * n["x"] + n["y"] * n["y"] + n["z"] * n["z"])
+        sign = F.when(n["w"] < 0, -1.0).otherwise(1.0)
+
+        def scaled(s: Column) -> Column:
+            scale = F.when(s < 1e-6, 2.0).otherwise(2.0 * F.atan2(s, F.abs(n["w"])) / F.when(s < 1e-6, 1.0).otherwise(s)) * sign
+            return let(scale, lambda k: F.struct(*((n[c] * k).alias(c) for c in "xyz")))
+
+        return let(size, scaled)
+
+    return let(quat_normalize(q), turned)
 
 
 def quat_relative(b: Column, a: Column) -> Column:
@@ -148,15 +175,23 @@ def quat_to_matrix(q: Column) -> Column:
 
 def quat_from_matrix(m: Column) -> Column:
     """Unit quaternion of a rotation matrix, from the largest of its four squared components."""
-    a, b, c = m[0][0], m[1][1], m[2][2]
-    squares = {"w": 1 + a + b + c, "x": 1 + a - b - c, "y": 1 - a + b - c, "z": 1 - a - b + c}
-    mixed = {("w", "x"): m[2][1] - m[1][2], ("w", "y"): m[0][2] - m[2][0], ("w", "z"): m[1][0] - m[0][1], ("x", "y"): m[0][1] + m[1][0], ("x", "z"): m[0][2] + m[2][0], ("y", "z"): m[1][2] + m[2][1]}
-    best, out = F.greatest(*squares.values()), F.lit(None)
-    for own in "zyxw":
-        s = 2 * F.sqrt(F.greatest(squares[own], F.lit(1e-12)))
-        parts = [(s / 4) if c == own else mixed[tuple(sorted((own, c), key="wxyz".index))] / s for c in "wxyz"]
-        out = F.when(squares[own] >= best, quat_normalize(_quat(*parts))).otherwise(out)
-    return out
+
+    def made(m: Column) -> Column:
+        a, b, c = m[0][0], m[1][1], m[2][2]
+        squares = {"w": 1 + a + b + c, "x": 1 + a - b - c, "y": 1 - a + b - c, "z": 1 - a - b + c}
+        mixed = {("w", "x"): m[2][1] - m[1][2], ("w", "y"): m[0][2] - m[2][0], ("w", "z"): m[1][0] - m[0][1], ("x", "y"): m[0][1] + m[1][0], ("x", "z"): m[0][2] + m[2][0], ("y", "z"): m[1][2] + m[2][1]}
+
+        def chosen(best: Column) -> Column:
+            s = 2 * F.sqrt(F.greatest(best, F.lit(1e-12)))
+            out = None
+            for own in "zyxw":
+                parts = _quat(*((s / 4) if k == own else mixed[tuple(sorted((own, k), key="wxyz".index))] / s for k in "wxyz"))
+                out = parts if out is None else F.when(squares[own] >= best, parts).otherwise(out)
+            return out
+
+        return let(F.greatest(*squares.values()), chosen)
+
+    return quat_normalize(let(m, made))
 
 
 def mat_vec(m: Column, v: Column) -> Column:
