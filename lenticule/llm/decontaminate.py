@@ -148,13 +148,17 @@ def near_places(postings: dict[bytes, np.ndarray], words: tuple[bytes, ...], ord
     return np.array(good, dtype=np.int32)
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about ``limit`` bytes."""
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about ``limit`` bytes the items make, and the blocks."""
     size = benchmark.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 16)).first()[0] or 0
     parts = -(-int(size) // limit) or 1
-    for i in range(parts):
-        block = benchmark if parts == 1 else benchmark.filter(F.pmod(F.xxhash64(item, text), F.lit(parts)) == i)
-        yield [(r[0], r[1]) for r in block.select(item, text).collect()]
+
+    def each() -> Iterator[list[tuple]]:
+        for i in range(parts):
+            block = benchmark if parts == 1 else benchmark.filter(F.pmod(F.xxhash64(item, text), F.lit(parts)) == i)
+            yield [(r[0], r[1]) for r in block.select(item, text).collect()]
+
+    return parts, each()
 
 
 def find_contamination(
@@ -175,15 +179,19 @@ def find_contamination(
     places of the rarest word.
     """
     kind = df.schema[key].dataType.simpleString()
-    answers = None
-    blocks = 0
-    for items in _blocks(benchmark, item, item_text, block_bytes):
-        blocks += 1
+    answers = index = None
+    blocks, parts = _blocks(benchmark, item, item_text, block_bytes)
+    for items in parts:
         windows = windows_of(items, window)
         vocabulary = {w for x in windows for w in x}
-        index = materialise(build_index(df, key, text, vocabulary, segment_words), "postings")
+        if index is None:  # one index for all blocks; of one block, its words' postings are all that can matter
+            index = materialise(build_index(df, key, text, vocabulary if blocks == 1 else None, segment_words), "postings")
         # how often each test word occurs over all documents; as many rows as there are test words in the block
-        often = {bytes(r[0]): r[1] for r in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect()}
+        terms = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.terms", "x.counts")
+        if blocks > 1:
+            wanted = df.sparkSession.createDataFrame([(w,) for w in sorted(vocabulary)], "terms binary")
+            terms = terms.join(F.broadcast(wanted), "terms")  # no larger than the block
+        often = {bytes(r[0]): r[1] for r in terms.groupBy("terms").agg(F.sum("counts")).collect()}
         plan = [(x, sorted(range(len(x)), key=lambda i, x=x: often[x[i]]), [str(i) for i in named]) for x, named in windows.items() if all(w in often for w in x)]
         found = _search(index, plan, kind, key, slop)
         answers = found if answers is None else answers.union(found)
