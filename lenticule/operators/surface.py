@@ -23,39 +23,55 @@ def clusters(bins: DataFrame, key: str, size: float, tolerance: float) -> DataFr
     return bins.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def foreground_bin(bins: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """The bin to align on: from the lowest one that holds max(ceil(share of all), 1), uphill over neighbouring bins while counts don't fall."""
-    own = Window.partitionBy(key)
+def with_target(bins: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """Add target, the bin to align on: from the lowest one that holds max(ceil(share of all), 1), uphill over neighbouring bins while
+    counts don't fall. Windows over the bins alone, all with one partitioning."""
+    own, w = Window.partitionBy(key), Window.partitionBy(key).orderBy("bin")
     sized = bins.withColumn("__all", F.sum("n").over(own))
     start = F.min(F.when(F.col("n") >= F.greatest(F.ceil(F.col("__all") * F.lit(share)), F.lit(1)), F.col("bin"))).over(own)
-    up = sized.withColumn("start", start).filter(F.col("bin") >= F.col("start"))
-    w = Window.partitionBy(key).orderBy("bin")
-    before = F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    breaks = F.col("start").isNotNull() & (F.col("bin") > F.col("start")) & ((F.col("bin") - F.lag("bin").over(w) != 1) | (F.col("n") < before))
-    held = up.withColumn("__stop", F.sum(breaks.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.coalesce("__stop", F.lit(0)) == 0)
-    return held.groupBy(key).agg(F.max("bin").alias("target"))
+    sized = sized.withColumn("__start", start)
+    before = F.max(F.when(F.col("bin") >= F.col("__start"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    breaks = (F.col("bin") > F.col("__start")) & ((F.col("bin") - F.lag("bin").over(w) != 1) | (F.col("n") < before))
+    sized = sized.withColumn("__break", F.coalesce(breaks, F.lit(False)).cast("int"))
+    sized = sized.withColumn("__stop", F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    climbed = (F.col("bin") >= F.col("__start")) & (F.col("__stop") == 0)
+    return sized.withColumn("target", F.max(F.when(climbed, F.col("bin"))).over(own)).drop("__all", "__start", "__break", "__stop")
+
+
+def foreground_bin(bins: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """key and target."""
+    return with_target(bins, key, share).groupBy(key).agg(F.max("target").alias("target"))
+
+
+def select_bins(bins: DataFrame, key: str, size: float, tolerance: float, share: float = 0.01) -> DataFrame:
+    """Add cluster and selected: the cluster that holds the target, or were there none, the largest (the last on ties)."""
+    own = Window.partitionBy(key)
+    marked = with_target(clusters(bins, key, size, tolerance), key, share)
+    holder = F.max(F.when(F.col("bin") == F.col("target"), F.col("cluster"))).over(own)
+    largest = F.max(F.struct("n", "cluster")).over(own)["cluster"]
+    return marked.withColumn("__chosen", F.coalesce(holder, largest)).withColumn("selected", F.col("cluster") == F.col("__chosen")).drop("__chosen", "target")
 
 
 def histogram(bins: DataFrame, key: str, size: float, tolerance: float, share: float = 0.01) -> DataFrame:
     """Every bin from the first to the last, empty ones too, with shares, cluster and whether its cluster is the selected one."""
-    marked = clusters(bins, key, size, tolerance)
-    target = marked.join(foreground_bin(bins, key, share), key)
-    # the cluster that holds the target; were there none, the largest (the last on ties)
-    chosen = target.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("bin") == F.col("target"), F.col("cluster"))), F.max_by("cluster", F.struct("n", "cluster"))).alias("chosen"))
-    span = bins.groupBy(key).agg(F.min("bin").alias("a"), F.max("bin").alias("b"), F.sum("n").alias("all"))
-    dense = span.withColumn("bin", F.explode(F.sequence("a", "b"))).join(marked, [key, "bin"], "left").join(chosen, key)
-    n = F.coalesce("n", F.lit(0))
+    own, w = Window.partitionBy(key), Window.partitionBy(key).orderBy("bin")
+    marked = select_bins(bins, key, size, tolerance, share).withColumn("all", F.sum("n").over(own)).withColumn("__next", F.lead("bin").over(w))
+    # each bin brings the empty ones after it
+    after = F.sequence(F.col("bin"), F.coalesce(F.col("__next") - 1, F.col("bin")))
+    dense = marked.withColumn("__at", F.explode(after)).withColumn("__own", F.col("__at") == F.col("bin"))
+    n = F.when(F.col("__own"), F.col("n")).otherwise(F.lit(0))
+    at = F.col("__at")
     return dense.select(
         key,
-        "bin",
-        (F.col("bin") * size).alias("bin_start"),
-        ((F.col("bin") + 1) * size).alias("bin_end"),
-        ((F.col("bin") + 0.5) * size).alias("bin_center"),
+        at.alias("bin"),
+        (at * size).alias("bin_start"),
+        ((at + 1) * size).alias("bin_end"),
+        ((at + 0.5) * size).alias("bin_center"),
         n.alias("n"),
         (n / F.col("all")).alias("fraction"),
         (n / F.col("all") * 100.0).alias("percentage"),
-        "cluster",
-        F.coalesce(F.col("cluster") == F.col("chosen"), F.lit(False)).alias("selected"),
+        F.when(F.col("__own"), F.col("cluster")).alias("cluster"),
+        (F.col("__own") & F.col("selected")).alias("selected"),
     )
 
 
@@ -75,7 +91,7 @@ def displacements(triplets: DataFrame) -> DataFrame:
 
 def surface_shifts(points: DataFrame, size: float, tolerance: float, key: str = "image_id") -> DataFrame:
     """Mean displacement over the selected cluster: one row (key, n, dx0, dy0, dx2, dy2); the middle frame stays."""
-    hist = histogram(bin_counts(points, key, "d", size), key, size, tolerance).filter("selected").select(key, "bin")
+    hist = select_bins(bin_counts(points, key, "d", size), key, size, tolerance).filter("selected").select(key, "bin")
     chosen = points.filter("d > 0").withColumn("bin", F.floor(1.0 / F.col("d") / F.lit(size))).join(hist, [key, "bin"])
     return chosen.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
 

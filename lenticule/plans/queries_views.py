@@ -39,7 +39,9 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = d.keypoints(spark, sf_dir)
-    tri = matching.with_points(matching.cyclic_triplets(matching.mutual_matches(k, PAIRS)), k)
+    # the three sides of the cycle, and every use of the triplets, read these; they are small next to the dot products behind them
+    found = matching.mutual_matches(k, PAIRS).persist()
+    tri = matching.with_points(matching.cyclic_triplets(found), k)
     return matching.verify_triplets(tri, size=(F.lit(1000.0), F.lit(600.0)))
 
 
@@ -56,7 +58,7 @@ def mutual_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BASE} SELECT i0, i1, i2, round(confidence, 5) AS confidence FROM tri")
 def triplet_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.cyclic_triplets(_matches(spark, sf_dir)).select("i0", "i1", "i2", F.round("confidence", 5).alias("confidence"))
+    return matching.cyclic_triplets(_matches(spark, sf_dir).persist()).select("i0", "i1", "i2", F.round("confidence", 5).alias("confidence"))
 
 
 @query(f"{_BASE} SELECT i0, i1, i2, disparity_01, disparity_12 FROM kept")
@@ -76,7 +78,7 @@ def chassis_extrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.displacements(_triplets(spark, sf_dir))
+    return surface.displacements(_triplets(spark, sf_dir)).persist()
 
 
 @query(f"{_SURFACE}, r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM bins) SELECT r.bin, round((r.bin + 0.5) * {BIN}::DOUBLE, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM bins), 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl USING (bin), ch")
