@@ -87,8 +87,9 @@ def rect_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.boxes(spark, sf_dir).select("box_id", geometry.contains(F.struct("x", "y", "width", "height"), F.lit(0.4), F.lit(0.35)).alias("inside"))
 
 
-def _basis_sql(rows: tuple[str, str, str, str]) -> str:
-    return f"SELECT box_id, round({rows[0]} + 1e-9, 5) AS b0, round({rows[1]} + 1e-9, 5) AS b1, round({rows[2]} + 1e-9, 5) AS b2, round({rows[3]} + 1e-9, 5) AS b3 FROM (SELECT box_id, score AS t FROM ({d.BOXES}))"
+def _basis_sql(matrix: tuple) -> str:
+    terms = [f"round((({matrix[0][j]!r}::DOUBLE * t + {matrix[1][j]!r}::DOUBLE) * t + {matrix[2][j]!r}::DOUBLE) * t + {matrix[3][j]!r}::DOUBLE + 1e-9, 5) + 0.0 AS b{j}" for j in range(4)]
+    return f"SELECT box_id, {', '.join(terms)} FROM (SELECT box_id, score AS t FROM ({d.BOXES}))"
 
 
 def _basis(spark: SparkSession, sf_dir: str, matrix: tuple) -> DataFrame:
@@ -96,22 +97,22 @@ def _basis(spark: SparkSession, sf_dir: str, matrix: tuple) -> DataFrame:
     return d.boxes(spark, sf_dir).select("box_id", *(F.round(w + 1e-9, 5).alias(f"b{i}") for i, w in enumerate(weights)))
 
 
-@query(_basis_sql(("pow(1 - t, 3) / 6", "(3 * t * t * t - 6 * t * t + 4) / 6", "(-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6", "t * t * t / 6")))
+@query(_basis_sql(geometry.BSPLINE))
 def bspline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _basis(spark, sf_dir, geometry.BSPLINE)
 
 
-@query(_basis_sql(("(-t + 2 * t * t - t * t * t) / 2", "(2 - 5 * t * t + 3 * t * t * t) / 2", "(t + 4 * t * t - 3 * t * t * t) / 2", "(-t * t + t * t * t) / 2")))
+@query(_basis_sql(geometry.CATMULL_ROM))
 def catmull_rom_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _basis(spark, sf_dir, geometry.CATMULL_ROM)
 
 
 @query(
     f"""WITH w AS (SELECT key, pos, lag(value) OVER o AS p0, value AS p1, lead(value) OVER o AS p2, lead(value, 2) OVER o AS p3 FROM ({d.SERIES}) WINDOW o AS (PARTITION BY key ORDER BY pos))
-SELECT key, pos, round(-0.0703125 * p0 + 0.8671875 * p1 + 0.2265625 * p2 - 0.0234375 * p3, 4) AS value FROM w WHERE p0 IS NOT NULL AND p3 IS NOT NULL AND p2 IS NOT NULL AND p1 IS NOT NULL"""
+SELECT key, pos, round(-0.0703125 * p0 + 0.8671875 * p1 + 0.2265625 * p2 - 0.0234375 * p3 + 1e-9, 4) AS value FROM w WHERE p0 IS NOT NULL AND p3 IS NOT NULL AND p2 IS NOT NULL AND p1 IS NOT NULL"""
 )
 def spline_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.spline_over(d.series(spark, sf_dir), "key", "pos", "value", 0.25, geometry.CATMULL_ROM).withColumn("value", F.round("value", 4))
+    return geometry.spline_over(d.series(spark, sf_dir), "key", "pos", "value", 0.25, geometry.CATMULL_ROM).withColumn("value", F.round(F.col("value") + 1e-9, 4))
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +122,10 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.pixels(spark, sf_dir).select("id", q(half, "z").alias("a"), q(other, "z").alias("b"), half.alias("ha"), other.alias("hb"), F.col("b").alias("blue"))
 
 
-@query(f"SELECT id, round(cos(0.7 * h1 + 0.3 * h2), 5) AS w, round(sin(0.7 * h1 + 0.3 * h2), 5) AS z FROM (SELECT id, r / 255.0::DOUBLE * 0.75 AS h1, g / 255.0::DOUBLE * 0.75 AS h2 FROM ({d.PIXELS}))")
+@query(
+    f"""WITH h AS (SELECT id, r / 255.0::DOUBLE * 0.75 AS h1, g / 255.0::DOUBLE * 0.75 AS h2 FROM ({d.PIXELS})), m AS (SELECT id, cos(h1 - h2) > 0.9995 AS near, 0.7 * h1 + 0.3 * h2 AS h, 0.7 * cos(h1) + 0.3 * cos(h2) AS w, 0.7 * sin(h1) + 0.3 * sin(h2) AS z FROM h)
+SELECT id, round(CASE WHEN near THEN w / sqrt(w * w + z * z) ELSE cos(h) END, 5) AS w, round(CASE WHEN near THEN z / sqrt(w * w + z * z) ELSE sin(h) END, 5) AS z FROM m"""
+)
 def quat_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).select("id", geometry.quat_slerp(F.col("a"), F.col("b"), F.lit(0.3)).alias("q")).select("id", F.round("q.w", 5).alias("w"), F.round("q.z", 5).alias("z"))
 
