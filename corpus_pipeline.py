@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lenticule.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
+from lenticule.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
 from lenticule.llm.common import materialise, table
 from lenticule.llm.registry import BPE_VOCABULARY, TOXIC_FROM, toxicity_model
 
@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies (0.8 of the five-word shingles), the document with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,3 +137,40 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     got = {r["doc_id"] for r in decontaminate.find_contamination(df, bench, slop=2).collect() if r["hits"]}
     assert got == {1, 2}
+
+
+def plain_groups(texts):
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+    group = {k: k for k in texts}
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_pipeline_stage_drops_all_near_copies(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(12))
+    texts = {1: None, 2: " ", 3: "Two words", 4: "two WORDS", 5: line}
+    for base in range(40):
+        own = [word() for _ in range(r.choice([12, 60, 300]))] + line.split()
+        for copy in range(5):
+            edited = list(own)
+            for _ in range(r.randrange(1 + len(own) // 30)):
+                edited[r.randrange(len(own))] = word()
+            texts[100 + 10 * base + copy] = " ".join(edited)
+    want = plain_groups(texts)
+    assert 60 < sum(k != g for k, g in want.items()) < 160
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n", F.lit("clash"))
+    left = corpus_pipeline.drop_near_copies(spark, df, None)
+    assert left.columns == df.columns and sorted(x["doc_id"] for x in left.collect()) == sorted(k for k, g in want.items() if k == g)
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), None).count() == 0
