@@ -5,9 +5,10 @@ that rules decide are the accepted and rejected ones that train two variable-ord
 of a character mixes all orders, each smoothed towards the one below. A url that no rule decides is judged by the difference of its two
 log-likelihoods, divided by its length, against a threshold that is calibrated on decided urls kept out of training.
 
-Counts cover every decided url. They are kept in tables of fixed size (``slots`` for each class), where contexts are found by hash, so
-what comes to the driver and goes out to the tasks has a bound that does not depend on the input; tasks add up their own counts before
-anything is shuffled.
+Counts cover every decided url and are exact: a context and the character after it are packed into one long, and the counts of all
+of them are a distributed table that grows with the urls. Scores come from joins: a character's probability depends on it and the
+characters before it alone, so each distinct run of them is looked up once in every order, and the urls then look up their runs.
+Nothing but the two totals and the cells of the calibration comes to the driver.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and are judged as the empty string; where only one of
 the classes occurs, or none, all undecided urls have score 0 and are allowed; repeated rows get equal verdicts; other columns
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialise
 
 
 @dataclass(frozen=True)
@@ -51,13 +52,16 @@ RULES = (
 @dataclass(frozen=True)
 class MarkovConfig:
     order: int = 5
-    slots: int = 1 << 18
     mass: float = 1.5
     holdout: int = 5
     bins: int = 1024
     span: float = 8.0
 
 
+#: Scores are summed in whole steps of this size, so that the order of the rows does not matter.
+STEP = 2.0**-32
+
+
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Add host (A-Z lower-cased) and path."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,121 +80,111 @@ def with_rule(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return df.withColumn("rule", found).withColumn("rule_verdict", verdict)
 
 
-def _grams(texts: list[bytes], c: MarkovConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the characters in context and of the contexts alone, (orders, characters), and each character's text."""
-    pad = c.order
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each character with the ``order`` ones before it, the last in the lowest byte, and each character's text."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)  # with an end mark
-    flat = np.frombuffer(b"".join(b"\x00" * pad + t + b"\x01" for t in texts), dtype=np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\x00" * order + t + b"\x01" for t in texts), dtype=np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(int(sizes.sum())) + (owner + 1) * pad
-    context = np.zeros(len(place), dtype=np.uint64)
-    symbol = flat[place]
-    full, bare = [], []
-    for k in range(c.order + 1):
-        if k:
-            context = context * np.uint64(0x9E3779B97F4A7C15) + flat[place - k] + np.uint64(k)
-        seed = context * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x1000003 * (k + 1))
-        full.append(_slot(seed + (symbol + np.uint64(1)) * np.uint64(0x94D049BB133111EB), c.slots))
-        bare.append(_slot(seed, c.slots))
-    return np.stack(full), np.stack(bare), owner
-
-
-def _slot(x: np.ndarray, slots: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(slots)).astype(np.int64)
-
-
-class MarkovPair:
-    """Counts of accepted and rejected urls, (class, characters or contexts, slots), and the threshold between them."""
-
-    def __init__(self, counts: np.ndarray, config: MarkovConfig, threshold: float = 0.0):
-        self.counts, self.config, self.threshold = counts, config, threshold
-        self.usable = bool((counts.reshape(2, -1).sum(axis=1) > 0).all())
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Log-likelihood of the accepted model less that of the rejected one, per character."""
-        if not self.usable or not texts:
-            return np.zeros(len(texts))
-        full, bare, owner = _grams(texts, self.config)
-        logs = []
-        for own in self.counts:
-            p = np.full(full.shape[1], 1 / 257)
-            for k in range(len(full)):
-                p = (own[0, full[k]] + self.config.mass * p) / (np.maximum(own[1, bare[k]], own[0, full[k]]) + self.config.mass)
-            logs.append(np.log(p))
-        n = np.bincount(owner, minlength=len(texts))
-        return np.bincount(owner, logs[0] - logs[1], minlength=len(texts)) / n
+    place = np.arange(int(sizes.sum())) + (owner + 1) * order
+    gram = np.zeros(len(place), dtype=np.int64)
+    for k in range(order + 1):
+        gram |= flat[place - k] << (8 * k)
+    return gram, owner
+
+
+def _level(k: int) -> tuple[int, int]:
+    """What an order keeps of a gram, and its mark: orders have keys of their own."""
+    return (1 << 8 * (k + 1)) - 1, k << 56
 
 
 def _text(host: str = "host", path: str = "path") -> Column:
     return F.concat(F.col(host), F.col(path))
 
 
-def count(decided: DataFrame, c: MarkovConfig) -> np.ndarray:
-    """Counts over all rows of (text, accepted)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((2, 2, c.slots), dtype=np.int64)
-        for batch in batches:
-            texts, kind = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=bool)
-            for at in range(0, len(texts), 512):
-                full, bare, owner = _grams([t.encode("utf-8") for t in texts[at : at + 512]], c)
-                for cls in (0, 1):
-                    on = kind[at : at + 512][owner] == (cls == 0)
-                    own[cls, 0] += np.bincount(full[:, on].ravel(), minlength=c.slots)
-                    own[cls, 1] += np.bincount(bare[:, on].ravel(), minlength=c.slots)
-        flat = own.ravel()
-        at = np.flatnonzero(flat)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["slot", "n"])
-
-    sums = map_rows(decided, run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 4 x slots rows
-    counts = np.zeros(4 * c.slots, dtype=np.float32)
-    counts[sums["slot"].to_numpy(dtype=np.int64)] = sums["n"]
-    return counts.reshape(2, 2, c.slots)
-
-
-def _scored(df: DataFrame, model: MarkovPair, carried: list[str]) -> DataFrame:
-    """The carried columns and the score of column text."""
-    held = df.sparkSession.sparkContext.broadcast(model)  # its size is that of the tables
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carried).schema]
+def _tally(df: DataFrame, name: str, c: MarkovConfig) -> DataFrame:
+    """For rows of (``name``, text): ``name``, gram and n, how often the batch's texts of that name have it."""
+    kind = df.schema[name].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = held.value
         for batch in batches:
-            texts = batch.column(len(carried)).to_pylist()
-            parts = [pair.scores([t.encode("utf-8") for t in texts[at : at + 512]]) for at in range(0, len(texts), 512)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(np.concatenate(parts) if parts else np.empty(0))], names=[*carried, "score"])
-
-    return map_rows(df.select(*carried, "text"), run, ", ".join([*kinds, "score double"]))
-
-
-def fit(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, config: MarkovConfig = MarkovConfig()) -> MarkovPair:
-    """Train on the urls that rules decide and calibrate on every ``holdout``-th of them, by a hash of the url."""
-    decided = with_rule(with_parts(df.select(url), url), rules).filter("rule is not null").select(_text().alias("text"), (F.col("rule_verdict") == "allow").alias("accepted"))
-    apart = F.pmod(F.xxhash64("text"), F.lit(config.holdout)) == 0
-    model = MarkovPair(count(decided.filter(~apart), config), config)
-    if not model.usable:
-        return model
+            for at in range(0, batch.num_rows, 512):
+                names, texts = batch.column(0)[at : at + 512].dictionary_encode(), batch.column(1)[at : at + 512]
+                gram, owner = _grams([t.as_py().encode("utf-8") for t in texts], c.order)
+                whose = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+                order = np.lexsort((gram, whose))
+                gram, whose = gram[order], whose[order]
+                first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (whose[1:] != whose[:-1])]))
+                n = np.diff(np.append(first, len(gram)))
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(whose[first])), pa.array(gram[first]), pa.array(n)], names=[name, "gram", "n"])
+
+    return map_rows(df.select(name, "text"), run, f"`{name}` {kind}, gram long, n long")
+
+
+def count(decided: DataFrame, c: MarkovConfig) -> DataFrame:
+    """(key, a, r): how often accepted and rejected texts have each character in each context, over all rows of (text, accepted)."""
+    longest = _tally(decided, "accepted", c).groupBy("gram").agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("r"))
+    return _levels(longest, c).groupBy("key").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+
+
+def _levels(grams: DataFrame, c: MarkovConfig) -> DataFrame:
+    """Each row once for every order k, with the order's key."""
+    keys = [F.col("gram").bitwiseAND(F.lit(keep)).bitwiseOR(F.lit(mark)) for keep, mark in map(_level, range(c.order + 1))]
+    return grams.select("*", F.posexplode(F.array(*keys)).alias("k", "key"))
+
+
+def ratios(grams: DataFrame, counts: DataFrame, c: MarkovConfig) -> DataFrame:
+    """(gram, steps): log-probability of the last character in the accepted model less that in the rejected one, for distinct grams."""
+    bare = F.col("key").bitwiseAND(F.lit(~255))
+    contexts = counts.groupBy(bare.alias("context")).agg(F.sum("a").alias("all_a"), F.sum("r").alias("all_r"))
+    rows = _levels(grams, c).withColumn("context", bare).join(counts, "key", "left").join(contexts, "context", "left")
+    at = lambda name, k: F.coalesce(F.max(F.when(F.col("k") == k, F.col(name))), F.lit(0))
+    names = [f"{name}_{k}" for name in ("a", "r", "all_a", "all_r") for k in range(c.order + 1)]
+    wide = rows.groupBy("gram").agg(*(at(*n.rsplit("_", 1)).alias(n) for n in names))
+    logs = []
+    for own in ("a", "r"):
+        p = F.lit(1 / 257)
+        for k in range(c.order + 1):
+            p = (F.col(f"{own}_{k}") + c.mass * p) / (F.col(f"all_{own}_{k}") + c.mass)
+        logs.append(F.log(p))
+    return wide.select("gram", F.round((logs[0] - logs[1]) / STEP).cast("long").alias("steps"))
+
+
+def score(texts: DataFrame, counts: DataFrame, c: MarkovConfig) -> DataFrame:
+    """(text, score) for distinct texts: log-likelihood of the accepted model less that of the rejected one, per character."""
+    texts = materialise(texts.withColumn("id", F.monotonically_increasing_id()), "url_texts")
+    grams = materialise(_tally(texts, "id", c), "url_grams")
+    each = ratios(grams.select("gram").distinct(), counts, c)
+    sums = grams.join(each, "gram").groupBy("id").agg((F.sum(F.col("steps") * F.col("n")) * STEP / F.sum("n")).alias("score"))
+    return texts.join(sums, "id").select("text", "score")
+
+
+def calibrate(scored: DataFrame, config: MarkovConfig) -> float:
+    """The threshold between rows of (accepted, score)."""
     width = 2 * config.span / config.bins
     cell = F.least(F.greatest(F.floor((F.col("score") + config.span) / width), F.lit(0)), F.lit(config.bins - 1)).cast("int")
-    cells = _scored(decided.filter(apart), model, ["accepted"]).groupBy("accepted", cell.alias("cell")).agg(F.count("*").alias("n")).collect()
+    cells = scored.groupBy("accepted", cell.alias("cell")).agg(F.count("*").alias("n")).collect()
     seen = np.zeros((2, config.bins))
     for r in cells:
         seen[int(r["accepted"]), r["cell"]] += r["n"]
-    if (seen.sum(axis=1) > 0).all():
-        share = seen / seen.sum(axis=1, keepdims=True)
-        # share of rejected below a cut plus share of accepted from it on; of equal cuts, the middle one
-        good = np.concatenate([[0], np.cumsum(share[0])]) + 1 - np.concatenate([[0], np.cumsum(share[1])])
-        best = np.flatnonzero(good >= good.max() - 1e-12)
-        model.threshold = float(best[len(best) // 2] * width - config.span)
-    return model
+    if not (seen.sum(axis=1) > 0).all():
+        return 0.0
+    share = seen / seen.sum(axis=1, keepdims=True)
+    # share of rejected below a cut plus share of accepted from it on; of equal cuts, the middle one
+    good = np.concatenate([[0], np.cumsum(share[0])]) + 1 - np.concatenate([[0], np.cumsum(share[1])])
+    best = np.flatnonzero(good >= good.max() - 1e-12)
+    return float(best[len(best) // 2] * width - config.span)
 
 
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, config: MarkovConfig = MarkovConfig()) -> DataFrame:
-    """One row for each row: key, host, path, rule, verdict, score."""
-    model = fit(df, url, rules, config)
+    """One row for each row: key, host, path, rule, verdict, score. Every ``holdout``-th decided url, by a hash of it, is kept for calibration."""
     parts = with_rule(with_parts(df.select(F.col(key), F.col(url).alias("__url")), "__url"), rules).withColumn("text", _text())
-    scored = _scored(parts, model, [key, "host", "path", "rule", "rule_verdict"])
-    by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block") if model.usable else F.lit("allow")
-    return scored.select(key, "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "score")
+    decided = parts.filter("rule is not null").select("text", (F.col("rule_verdict") == "allow").alias("accepted"))
+    apart = F.pmod(F.xxhash64("text"), F.lit(config.holdout)) == 0
+    counts = materialise(count(decided.filter(~apart), config), "url_counts")
+    total = counts.agg(F.sum("a"), F.sum("r")).first()
+    if not all(total):
+        return parts.select(key, "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+    scored = materialise(score(parts.select("text").distinct(), counts, config), "url_scores")
+    threshold = calibrate(decided.filter(apart).join(scored, "text"), config)
+    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return parts.join(scored, "text").select(key, "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "score")

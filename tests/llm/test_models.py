@@ -87,6 +87,39 @@ def test_rules_and_models_of_urls(spark):
     assert {x["verdict"] for x in url_filter.judge(df.filter("page_id >= 2004")).collect()} == {"allow"}
 
 
+def test_url_scores_are_those_of_exact_counts(spark):
+    import math
+    from collections import Counter
+
+    r = random.Random(6)
+    path = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400))
+    rows = [(i, f"x://{('a.net/de/', 'a.com/en/', 'a.io/')[i % 3]}{path()}") for i in range(600)] + [(600, "x://a.io/"), (601, "x://a.net/de/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    trained = {x["url"] for x in df.filter("pmod(xxhash64(substr(url, 5)), 5) <> 0").collect()}
+    full, bare = ({"net": Counter(), "com": Counter()} for _ in range(2))
+
+    def grams(url):
+        t = "\0" * 5 + url[4:] + "\1"
+        return [[t[i - k : i + 1] for k in range(6)] for i in range(5, len(t))]
+
+    for _, url in rows:
+        kind = url[6:9]
+        if url in trained and kind in full:
+            for g in grams(url):
+                full[kind].update(g)
+                bare[kind].update((len(x), x[:-1]) for x in g)
+    assert sum(map(len, full.values())) > 1 << 18
+    got = {x["page_id"]: x["score"] for x in url_filter.judge(df).collect()}
+    for i, url in rows[-62:]:
+        total = 0.0
+        for g in grams(url):
+            p = {kind: 1 / 257 for kind in full}
+            for x in g:
+                p = {kind: (full[kind][x] + 1.5 * p[kind]) / (bare[kind][len(x), x[:-1]] + 1.5) for kind in p}
+            total += math.log(p["net"]) - math.log(p["com"])
+        assert got[i] == pytest.approx(total / len(grams(url)), abs=1e-6)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
