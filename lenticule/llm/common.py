@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Folders of intermediates that have not been discarded.
+_MADE: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,11 +40,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and everything runs in one process (tests) is a temporary folder set.
     """
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} see")
         folder = "file://" + tempfile.mkdtemp(prefix="lenticule_shared_")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -48,7 +56,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediates that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, whatever operators have put into the shared folder meanwhile. Their results must be written by then."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        discard(spark, *(p for p in list(_MADE) if p not in before))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -56,7 +85,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -65,5 +96,26 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(fn, schema)
 
 
+#: Ids are broadcast up to so many of them and bytes of them; beyond that both sides are dealt out by the id.
+MOST_IDS, MOST_ID_BYTES = 1 << 19, 8 << 20
+
+
+def _by_ids(df: DataFrame, on: Column, ids: DataFrame, how: str) -> DataFrame:
+    ids = ids.toDF("__id")
+    n, size = ids.agg(F.count("*"), F.sum(F.octet_length(F.col("__id").cast("string")))).first()
+    side = F.broadcast(ids) if n <= MOST_IDS and (size or 0) <= MOST_ID_BYTES else ids
+    return df.join(side, on.eqNullSafe(side["__id"]), how)
+
+
+def only(df: DataFrame, on: str | Column, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is one of ``ids`` (one column; cheap to read twice). Few ids cost no shuffle."""
+    return _by_ids(df, df[on] if isinstance(on, str) else on, ids, "left_semi")
+
+
+def without(df: DataFrame, on: str | Column, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``on`` is none of ``ids``."""
+    return _by_ids(df, df[on] if isinstance(on, str) else on, ids, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
