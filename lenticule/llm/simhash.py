@@ -1,6 +1,7 @@
 """SimHash fingerprints and their near pairs, by a self-join of binary tries.
 
-Fingerprints within ``BUDGET`` bits agree on at least one of ``BUDGET + 1`` equal slices of their bits. So for each slice the
+Fingerprints within ``BUDGET`` bits agree on at least one of ``BUDGET + 1`` equal slices of their bits, and so again for the bits
+that are left. So for each slice the
 bits are rotated until that slice comes first, and a binary trie over the rotated values is joined with itself below each
 node at the depth of the slice: pairs of nodes descend together, differing bits add up, and a pair of nodes is given up as
 soon as the sum exceeds the budget, or when everything below both is linked already. Only distinct fingerprints enter.
@@ -136,23 +137,47 @@ def _rotated(values: np.ndarray, by: int) -> np.ndarray:
     return values if by == 0 else (values << np.uint64(by)) | (values >> np.uint64(BITS - by))
 
 
+def _brought_forward(values: np.ndarray, width: int, sub: int, size: int) -> np.ndarray:
+    """Of the bits after the first ``width``, the ``sub``-th ``size`` come first."""
+    rest = BITS - width
+    after = rest - size * (sub + 1)
+    low = values & np.uint64((1 << rest) - 1)
+    chosen = (low >> np.uint64(after)) & np.uint64((1 << size) - 1)
+    before = low >> np.uint64(after + size)
+    return (values ^ low) | chosen << np.uint64(rest - size) | before << np.uint64(after) | low & np.uint64((1 << after) - 1)
+
+
 def near_links(distinct: DataFrame, budget: int = BUDGET, block: int = 4096) -> DataFrame:
     """Links (a, b) that span every group of fingerprints within ``budget`` bits; ``distinct`` has one row for each ``fp``.
 
-    Values that share a slice meet in one task. Where more than ``block`` do, they are dealt into blocks by hash and each
-    pair of blocks meets instead, so that no task gets more than about twice ``block`` of them and no pair is lost.
+    Values that share a slice meet in one task. Where more than ``block`` do, the same argument holds for their other bits: these
+    are sliced again, and values that share a second slice as well meet, so that a value goes to ``(budget + 1) ** 2`` tasks at most
+    while fingerprints are spread at all evenly. Only where more than ``block`` agree in both slices, they are dealt into blocks by hash and
+    each pair of blocks meets. No task gets more than about twice ``block`` of a group, and no pair is lost.
     """
     slices = budget + 1
     width = BITS // slices
-    heads = [F.shiftrightunsigned(F.shiftleft("fp", width * k), BITS - width) for k in range(slices)]
+    size = (BITS - width) // slices
+    bits = lambda value, at, n: F.shiftrightunsigned(F.shiftleft(value, at), BITS - n)
+    heads = [bits(F.col("fp"), width * k, width) for k in range(slices)]
     keyed = distinct.select("fp", F.posexplode(F.array(*heads)).alias("slice", "head"))
-    crowded = keyed.groupBy("slice", "head").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    sizes = keyed.groupBy("slice", "head").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = keyed.join(sizes, ["slice", "head"])
+    names = ["fp", "slice", "head", "sub", "tail", "x", "y"]
+    small = keyed.filter(F.col("n") <= block).select("fp", "slice", "head", *(F.lit(v).cast("long").alias(c) for c, v in (("sub", -1), ("tail", 0), ("x", 0), ("y", 0))))
+    turned = F.when(F.col("slice") == 0, F.col("fp"))
+    for k in range(1, slices):
+        turned = turned.when(F.col("slice") == k, F.shiftleft("fp", width * k).bitwiseOR(F.shiftrightunsigned("fp", BITS - width * k)))
+    crowded = keyed.filter(F.col("n") > block).select("fp", "slice", "head", turned.alias("turned"))
+    crowded = crowded.select("fp", "slice", "head", F.posexplode(F.array(*(bits(F.col("turned"), width + size * j, size) for j in range(slices)))).alias("sub", "tail"))
+    again = crowded.groupBy("slice", "head", "sub", "tail").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    meet = keyed.join(crowded, ["slice", "head"]).withColumn("parts", parts).withColumn("mine", mine)
-    meet = meet.select("fp", "slice", "head", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    meet = meet.select("fp", "slice", "head", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    meet = meet.repartition("slice", "head", "x", "y").sortWithinPartitions("slice", "head", "x", "y")
+    large = crowded.join(again, ["slice", "head", "sub", "tail"]).withColumn("parts", parts).withColumn("mine", mine)
+    large = large.select("fp", "slice", "head", "sub", "tail", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    large = large.select("fp", "slice", "head", "sub", "tail", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    meet = small.unionByName(large).select(*(F.col(c).cast("long") for c in names))
+    meet = meet.repartition(*names[1:]).sortWithinPartitions(*names[1:])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -164,7 +189,10 @@ def near_links(distinct: DataFrame, budget: int = BUDGET, block: int = 4096) ->
             for k in range(1, slices):
                 at = key[:, 0] == k
                 values[at] = _rotated(values[at], width * k)
-            order = np.lexsort((values, key[:, 3], key[:, 2], key[:, 1], key[:, 0]))
+            for j in range(slices):
+                at = key[:, 2] == j
+                values[at] = _brought_forward(values[at], width, j, size)
+            order = np.lexsort((values, *key.T[::-1]))
             key, fp, values = key[order], fp[order], values[order]
             new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
             label = trie_links(values, np.append(np.flatnonzero(new), len(fp)), width, budget)
