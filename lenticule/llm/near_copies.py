@@ -22,10 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import simhash
-from .common import map_rows, materialise
+from .common import map_rows, materialise, only, without
 from .graph import components
 
 WORDS = 5
@@ -65,15 +64,30 @@ def _heavy(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray
     return sums["slot"].to_numpy(dtype=np.int64), sums["c"].to_numpy(dtype=np.int64)
 
 
-def _prefixes(df: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
-    """(h, node, n, pos): the shingles at the head of every text, with its number of shingles and their places in the order."""
+def mark(own: np.ndarray) -> bytes:
+    """For each of a power of two of bits, at least as many as there are shingles, whether an odd number of them falls on it."""
+    bits = max(64, 1 << max(len(own) - 1, 0).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """How many shingles at least are in one of two sets alone, by their marks: every odd bit of the difference is one."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _sketches(df: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
+    """(node, n, mark, head): the number of shingles, their mark, and those at the head of the common order."""
     held = df.sparkSession.sparkContext.broadcast(_heavy(df, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, counts = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                nodes, head, sizes, total = batch.column(0)[at : at + 256], [], [], []
+                head, marks, total = [], [], []
                 for t in batch.column(1)[at : at + 256]:
                     own = shingles(t.as_py(), words)
                     slot = (own % np.uint64(SLOTS)).astype(np.int64)
@@ -81,49 +95,56 @@ def _prefixes(df: DataFrame, key: str, text: str, words: int, share: tuple[int,
                     common = np.where(slots[place] == slot, counts[place], 0) if len(slots) else np.zeros(len(own), dtype=np.int64)
                     size = len(own) - -(-share[0] * len(own) // share[1]) + 1
                     head.append(own[np.lexsort((own, common))[:size]])
-                    sizes.append(size)
+                    marks.append(mark(own))
                     total.append(len(own))
-                h = np.concatenate(head).view(np.int64)
-                pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-                node = nodes.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array(h), node, pa.array(np.repeat(np.array(total, dtype=np.int32), sizes)), pa.array(pos)], names=["h", "node", "n", "pos"])
+                ends = np.cumsum([0, *map(len, head)]).astype(np.int32)
+                heads = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(head).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(total, pa.int32()), pa.array(marks, pa.binary()), heads], names=["node", "n", "mark", "head"])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(df.select(key, text), run, f"h long, node {kind}, n int, pos int")
+    return map_rows(df.select(key, text), run, f"node {kind}, n int, mark binary, head array<long>")
 
 
-def _similar(df: DataFrame, pairs: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets of shingles have at least this Jaccard similarity."""
+def _similar(df: DataFrame, pairs: DataFrame, sketches: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingles have at least this Jaccard similarity.
+
+    A pair whose marks differ in more bits than sets as similar as that can differ in shingles is none, so no pair is lost by
+    them; texts move for the others only.
+    """
+    low, high = share
     kind = df.schema[key].dataType.simpleString()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)[at : at + 256]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(own, pa.binary())], names=["node", "own"])
+            apart = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], dtype=np.int64)
+            both = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(5).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array((high + low) * apart <= (high - low) * both))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(share[1] * both >= share[0] * (len(x) + len(y) - both))
+                good.append(high * both >= low * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    own = map_rows(df.join(ids, df[key] == ids["__id"], "left_semi").select(key, text), sets, f"node {kind}, own binary")
-    own = materialise(own, "near_sets")
-    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return map_rows(both, judge, f"a {kind}, b {kind}")
+    marks = sketches.select("node", "n", "mark")
+    marked = pairs.join(marks.toDF("a", "n", "x"), "a").join(marks.toDF("b", "m", "y"), "b").select("a", "b", "x", "y", "n", "m")
+    left = materialise(map_rows(marked, possible, f"a {kind}, b {kind}").distinct(), "near_left")
+    texts = only(df.select(key, text), key, left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    both = left.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return map_rows(both, judge, f"a {kind}, b {kind}").distinct()
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """(node, component) for every key that has a near copy; the component is the smallest key that it reaches."""
     df = df.select(key, text).filter(F.col(key).isNotNull())
     low, high = share
-    heads = _prefixes(df, key, text, words, share).withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1").drop("df")
-    heads = materialise(heads, "near_heads")
+    sketches = materialise(_sketches(df, key, text, words, share), "near_sketches")
+    heads = sketches.select("node", "n", F.posexplode("head").alias("pos", "h"))
+    shared = heads.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    heads = materialise(heads.join(shared, "h"), "near_heads")
     prints = materialise(simhash.fingerprints(df, key, text, words), "near_prints")
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     near = simhash.near_links(least.select("fp"))
@@ -133,7 +154,8 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
     links = None
     for turn in range(ROUNDS + 2):
-        found = _similar(df, materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs"), key, text, words, share)
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
+        found = _similar(df, pairs, sketches, key, text, words, share)
         links = materialise(found if links is None else links.union(found), "near_links")
         label = components(links)
         if turn > ROUNDS:
@@ -145,14 +167,18 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
             met = now.join(hub, "h").filter(f"label <> hub.label and {high} * least(n, hub.n) >= {low} * greatest(n, hub.n)")
             met = met.groupBy("node").agg(F.array(F.min("hub.node"), F.max("hub.node")).alias("hubs"))
             pairs = met.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
-        else:
-            x, y = now.alias("x"), now.alias("y")
-            met = x.join(y, F.expr(f"x.h = y.h and x.node < y.node and x.label <> y.label and {high} * least(x.n, y.n) >= {low} * greatest(x.n, y.n)"))
-            met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.min("x.pos").alias("p"), F.min("y.pos").alias("q"))
+        else:  # groups of a shingle meet, and members of different groups only
+            several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+            now = materialise(now.join(several, "h"), "near_open")
+            groups = now.select("h", "label").distinct()
+            meet = groups.toDF("h", "l").join(groups.toDF("h", "r"), "h").filter("l < r")
+            met = meet.join(now.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.toDF("h", "b", "m", "q", "r"), ["h", "r"])
+            met = met.filter(f"{high} * least(n, m) >= {low} * greatest(n, m)")
+            met = met.groupBy("a", "b", "n", "m").agg(F.min("p").alias("p"), F.min("q").alias("q"))
             pairs = met.filter(f"{low + high} * least(n - p, m - q) >= {low} * (n + m)").select("a", "b")  # what is left from the first shared one on
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of ``df`` whose key is the smallest of its group, with all their columns."""
-    label = near_copies(df, key, text, words, share).filter("node <> component").select(F.col("node").alias("__node"))
-    return df.join(label, df[key] == label["__node"], "left_anti")
+    gone = near_copies(df, key, text, words, share).filter("node <> component").select(F.col("node").alias("id"))
+    return without(df, key, materialise(gone, "near_gone"))
