@@ -18,6 +18,33 @@ def test_exact_copies(spark):
     left = exact_dedup.drop_exact_duplicates(df)
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 4, 5, 7, 8]
     assert exact_dedup.exact_duplicates(df.limit(0)).count() == 0
+    for names in ({"__file": 1, "__row": 2}, {"_metadata": 3}, {"place": 4, "c0": 5, "file": 6, "row": 7}):
+        clash = df.withColumns({k: F.lit(v) for k, v in names.items()})
+        left = exact_dedup.drop_exact_duplicates(clash)
+        assert left.columns == clash.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 4, 5, 7, 8]
+        assert {tuple(r) for r in left.select(*names).distinct().collect()} == {tuple(names.values())}
+
+
+def test_second_delivery_meets_the_first(spark, tmp_path):
+    state = str(tmp_path / "state")
+    long = "Long " * 500_000
+    first = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (4, long)], "doc_id long, text string")
+    first.write.parquet(str(tmp_path / "first"))
+    rows = lambda df, name: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(df, state=state, delivery=name).collect())
+    want = [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 1, True)]
+    assert rows(spark.read.parquet(str(tmp_path / "first")), "one") == want
+    assert rows(spark.read.parquet(str(tmp_path / "first")), "one") == want  # the same name again counts nothing twice
+    second = spark.createDataFrame([(0, "B"), (9, "a"), (8, "c"), (3, long.upper())], "doc_id long, text string")
+    assert rows(second, "two") == [(0, 3, 2, False), (3, 4, 2, False), (8, 8, 1, True), (9, 9, 3, True)]
+    third = spark.createDataFrame([(7, "C")], "doc_id long, text string")
+    assert rows(third, "three") == [(7, 8, 2, False)]
+
+
+def test_salted_groups_are_whole(spark):
+    rows = [(i, "Same" if i % 3 else f"own {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in exact_dedup.exact_duplicates(df, split=7).collect():
+        assert (r["keep_id"], r["group_size"]) == ((59, 40) if r["doc_id"] % 3 else (r["doc_id"], 1))
 
 
 def test_equal_digests_of_different_texts(spark):
