@@ -137,18 +137,61 @@ def plain_spans(text):
     return sorted(out)
 
 
+def iban_ok(m):
+    bare = m.replace(" ", "")
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+ADDED = {
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", iban_ok),
+    "local_phone": (r"(?<![0-9+])0[0-9]++(?:[\x20/.-]?+[0-9]++){1,6}+(?![0-9])", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    "secret": (r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+", lambda m: bool(re.search("[0-9]", m) and re.search("[A-Za-z]", m)) and len(set(m)) >= 10),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: m[:3] not in ("000", "666") and m[0] != "9" and m[4:6] != "00" and m[7:] != "0000"),
+    "national_id": (r"(?<![A-Za-z0-9])[0-9]{8}[A-Z](?![A-Za-z0-9])", lambda m: "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[:8]) % 23] == m[8]),
+}
+
+
+def all_plain_spans(text):
+    """Every kind with its score, straight from the text."""
+    import regex
+
+    c, text = pii.PiiConfig(), text or ""
+    base = plain_spans(text)
+
+    def score(kind, s, e):
+        own = 0.9 if kind == "secret" and re.match("AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|eyJ", text[s:e]) else c.base_score[kind]
+        near = re.search(c.context[kind], (text[max(0, s - 40) : s] + " " + text[e : e + 40]).lower())
+        return min(1.0, own + (0.3 if near else 0))
+
+    out = [(s, rank, e, kind, score(kind, s, e)) for s, rank, e, kind in base]
+    for rank, (kind, (pattern, valid)) in enumerate(ADDED.items(), len(PLAIN)):
+        for m in regex.finditer(pattern, text):
+            s, e = m.span()
+            if valid(m[0]) and score(kind, s, e) >= 0.6 and (kind == "iban" or not any(b[0] < e and s < b[2] for b in base)):
+                out.append((s, rank, e, kind, score(kind, s, e)))
+    return ",".join(f"{k}:{s}:{e}:{p:.2f}" for s, _, e, k, p in sorted(out))
+
+
 def test_personal_data(spark):
     r = random.Random(2)
     bits = ["a", ".", "@", "-", "_", "1", "23", "+", "0", "255", "256", " ", "é", "4111111111111111", "(", ")", "1.2.3.4", "a@b.c", "\n", "😀", "x@y", "%"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 40)))) for i in range(800)]
     rows += [(900, None), (901, ""), (902, "9" * 3000), (903, "a" * 3000 + "@"), (904, "1.2.3.4 " * 1500), (905, "1 " * 3000)]
     rows += [(906, "IBAN GB82 WEST 1234 5698 7654 32, DE89370400440532013001, call 030 1234567; 030 7654321")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii", F.lit("clash"))
-    for x in pii.span_digests(pii.find_personal_data(df)).collect():
-        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in plain_spans(dict(rows)[x["doc_id"]]))
+    rows += [(907, "GB08WEST12345698765018"), (908, "call 030 1234567; 030 7654321"), (909, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" ghp_0123456789abcdefABCD'), (910, "SSN 123-45-6789 000-12-3456; DNI 12345678Z 12345678A")]
+    words = ["call", "token", "key", "ssn", "dni", "iban", "030 123456", "0301234567", "GB82WEST12345698765432", "12345678Z", "123-45-6789", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "a@b.co", "+49 30 123456789", "é", "some more words", "10.0.0.1", "4111111111111111"]
+    rows += [(1000 + i, r.choice([" ", ", ", "; "]).join(r.choice(words) for _ in range(r.randint(1, 30)))) for i in range(300)]
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string").withColumn("pii", F.lit("clash"))
+    found = pii.span_digests(pii.find_personal_data(df)).collect()
+    assert len(found) == len(rows) + 1
+    for x in found:
+        text = dict(rows)[x["doc_id"]]
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in plain_spans(text))
         assert x["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), x["doc_id"]
-        if x["doc_id"] == 906:
-            assert x["spans"].startswith("iban:5:32,local_phone:")
+        every = ",".join(f"{a}:{b}" for a, b in zip(x["spans"].split(","), x["scores"].split(","), strict=True)) if x["spans"] else ""
+        assert every == all_plain_spans(text), x["doc_id"]
+    kinds = {x["doc_id"]: [s.split(":")[0] for s in x["spans"].split(",")] for x in found if x["doc_id"] in range(906, 911)}
+    assert kinds[907] == ["iban", "card"] and kinds[908] == ["local_phone"] * 2 and kinds[909] == ["secret"] * 2 and kinds[910] == ["ssn", "national_id"]
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
