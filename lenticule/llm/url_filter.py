@@ -1,7 +1,8 @@
 """URL filter: listed rules first, then the ratio of two character language models.
 
 A rule is a host and the beginning of a path; it fits its host and all subdomains, and the longest rule that fits decides. The urls
-that rules decide are the accepted and rejected ones that train two variable-order Markov models of their characters. The probability
+that rules decide are the accepted and rejected ones that train two variable-order Markov models of their characters, from scheme to
+fragment. The probability
 of a character mixes all orders, each smoothed towards the one below. A url that no rule decides is judged by the difference of its two
 log-likelihoods, divided by its length, against a threshold that is calibrated on decided urls kept out of training.
 
@@ -10,9 +11,9 @@ of them are a distributed table that grows with the urls. Scores come from joins
 characters before it alone, so each distinct run of them is looked up once in every order, and the urls then look up their runs.
 Nothing but the two totals and the cells of the calibration comes to the driver.
 
-Defined results: null urls and urls without ``://`` have an empty host and path and are judged as the empty string; where only one of
-the classes occurs, or none, all undecided urls have score 0 and are allowed; repeated rows get equal verdicts; other columns
-are ignored.
+Defined results: null urls and urls without ``://`` have an empty host and path; a null url is judged as the empty string. Where training
+sees only one of the classes, or none, all scores are 0 and undecided urls are allowed; where calibration does, the threshold is 0.
+Repeated rows get equal verdicts; an empty table gives an empty result; other columns are ignored, and the key may have any name.
 """
 
 from __future__ import annotations
@@ -80,16 +81,38 @@ def with_rule(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return df.withColumn("rule", found).withColumn("rule_verdict", verdict)
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+#: Characters that are turned into grams at a time.
+STRETCH = 1 << 18
+
+
+def _stretches(texts: list[bytes], order: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Groups of pieces of bounded length, with their texts' numbers. Each text starts with ``order`` marks and ends with one, and each
+    piece starts with the ``order`` characters before its first."""
+    owners, pieces, held = [], [], 0
+    for i, t in enumerate(texts):
+        marked = b"\x00" * order + t + b"\x01"
+        for at in range(0, len(t) + 1, STRETCH):
+            piece = marked[at : at + order + STRETCH]
+            if held + len(piece) > 2 * STRETCH:
+                yield owners, pieces
+                owners, pieces, held = [], [], 0
+            owners.append(i)
+            pieces.append(piece)
+            held += len(piece)
+    if pieces:
+        yield owners, pieces
+
+
+def _grams(owners: list[int], pieces: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Each character with the ``order`` ones before it, the last in the lowest byte, and each character's text."""
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)  # with an end mark
-    flat = np.frombuffer(b"".join(b"\x00" * order + t + b"\x01" for t in texts), dtype=np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(int(sizes.sum())) + (owner + 1) * order
+    sizes = np.array([len(p) - order for p in pieces], dtype=np.int64)
+    flat = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    place = np.arange(int(sizes.sum())) + (piece + 1) * order
     gram = np.zeros(len(place), dtype=np.int64)
     for k in range(order + 1):
         gram |= flat[place - k] << (8 * k)
-    return gram, owner
+    return gram, np.array(owners)[piece]
 
 
 def _level(k: int) -> tuple[int, int]:
@@ -97,19 +120,15 @@ def _level(k: int) -> tuple[int, int]:
     return (1 << 8 * (k + 1)) - 1, k << 56
 
 
-def _text(host: str = "host", path: str = "path") -> Column:
-    return F.concat(F.col(host), F.col(path))
-
-
 def _tally(df: DataFrame, name: str, c: MarkovConfig) -> DataFrame:
     """For rows of (``name``, text): ``name``, gram and n, how often the batch's texts of that name have it."""
     kind = df.schema[name].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                names, texts = batch.column(0)[at : at + 512].dictionary_encode(), batch.column(1)[at : at + 512]
-                gram, owner = _grams([t.as_py().encode("utf-8") for t in texts], c.order)
+            names = batch.column(0).dictionary_encode()
+            for owners, pieces in _stretches([t.as_py().encode("utf-8") for t in batch.column(1)], c.order):
+                gram, owner = _grams(owners, pieces, c.order)
                 whose = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner]
                 order = np.lexsort((gram, whose))
                 gram, whose = gram[order], whose[order]
@@ -177,14 +196,17 @@ def calibrate(scored: DataFrame, config: MarkovConfig) -> float:
 
 def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, config: MarkovConfig = MarkovConfig()) -> DataFrame:
     """One row for each row: key, host, path, rule, verdict, score. Every ``holdout``-th decided url, by a hash of it, is kept for calibration."""
-    parts = with_rule(with_parts(df.select(F.col(key), F.col(url).alias("__url")), "__url"), rules).withColumn("text", _text())
+    rows = df.select(F.col(key).alias("__key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("text"))
+    parts = with_rule(with_parts(rows, "text"), rules)
     decided = parts.filter("rule is not null").select("text", (F.col("rule_verdict") == "allow").alias("accepted"))
     apart = F.pmod(F.xxhash64("text"), F.lit(config.holdout)) == 0
     counts = materialise(count(decided.filter(~apart), config), "url_counts")
     total = counts.agg(F.sum("a"), F.sum("r")).first()
     if not all(total):
-        return parts.select(key, "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+        out = parts.select("__key", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
+        return out.toDF(key, *out.columns[1:])
     scored = materialise(score(parts.select("text").distinct(), counts, config), "url_scores")
     threshold = calibrate(decided.filter(apart).join(scored, "text"), config)
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return parts.join(scored, "text").select(key, "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "score")
+    out = parts.join(scored, "text").select("__key", "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "score")
+    return out.toDF(key, *out.columns[1:])
