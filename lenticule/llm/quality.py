@@ -6,10 +6,11 @@ takes from its document. Forward-backward gives every line's marginal, and the m
 is the document's quality; a last logistic step on the sample puts it on the scale of probabilities.
 
 Training takes a bounded sample of labelled rows, chosen by a hash of the key (``train_rows`` rows with texts of at most
-``train_bytes``); scoring reads every row and whole texts.
+``train_bytes``, up to ``train_lines`` lines in all); scoring reads every row and whole texts.
 
 Defined results: a text without lines (null, empty, only white space) counts as one line without features; with no usable labels of
-both kinds every score is 0.5; repeated rows get equal scores; labels that are null do not count; other columns are ignored.
+both kinds every score is 0.5; repeated rows get equal scores; labels that are null, and those of a document that is labelled both ways, do
+not count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ FEATURES = 12
 class QualityConfig:
     train_rows: int = 5000
     train_bytes: int = 20_000
+    train_lines: int = 400_000
+    batch_cells: int = 16_384
     epochs: int = 200
     rate: float = 0.1
     penalty: float = 1.0
@@ -139,14 +142,27 @@ def _expected(x: np.ndarray, mask: np.ndarray, w: np.ndarray, pairs: np.ndarray)
     return good * mask, joint.sum(axis=(0, 1))
 
 
+def _like_lengths(sizes: list[int], cells: int) -> Iterator[np.ndarray]:
+    """Chains of like length together; padded to the longest, a batch has at most ``cells`` lines, or one chain."""
+    own: list[int] = []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        if own and (len(own) + 1) * sizes[i] > cells:
+            yield np.array(own)
+            own = []
+        own.append(i)
+    yield np.array(own)
+
+
 def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConfig()) -> QualityModel:
     if len(set(labels.tolist())) < 2:
         return QualityModel()
     split = [lines_of(t.decode("utf-8")) for t in texts]
-    order = np.argsort([len(x) for x in split], kind="stable")
+    held = np.cumsum([max(1, len(x)) for x in split]) <= c.train_lines
+    split, labels = [x for x, h in zip(split, held, strict=True) if h], labels[held]
+    if len(set(labels.tolist())) < 2:
+        return QualityModel()
     batches = []
-    for at in range(0, len(order), 256):  # chains of like length together
-        own = order[at : at + 256]
+    for own in _like_lengths([max(1, len(x)) for x in split], c.batch_cells):
         feats = [chain_features(split[i]) for i in own]
         x = np.zeros((len(own), max(map(len, feats)), 3 * FEATURES))
         mask = np.zeros(x.shape[:2], dtype=bool)

@@ -9,7 +9,8 @@ Training takes a bounded sample of labelled rows, chosen by a hash of the key (`
 A last logistic step on the sample puts the noisy-or on the scale of probabilities.
 
 Defined results: null and empty texts have no sentences and get the score of no evidence; with no usable labels of both kinds every
-score is 0; repeated rows get equal scores; labels that are null do not count; other columns are ignored.
+score is 0; repeated rows get equal scores; labels that are null, and those of a document that is labelled both ways, do not count; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,14 +167,18 @@ def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, flo
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, label: str, usable: Column, key: str, text: str, rows: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` labelled texts, each of at most ``most_bytes``, chosen by a hash of the key. ``usable`` filters the labels."""
-    known = labels.filter(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
+    """At most ``rows`` labelled texts, each of at most ``most_bytes``, chosen by a hash of the key among all such texts.
+
+    ``usable`` filters the labels. A key that is labelled both ways is left out; of several texts of a key, the smallest counts.
+    """
+    marks = labels.filter(usable & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other"))
+    short = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes)
+    known = marks.filter("y = other").select("k", "y").join(short.select("k").distinct(), "k", "left_semi")
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows).collect()  # bounded by ``rows``
     if not chosen:
         return [], np.empty(0)
     few = df.sparkSession.createDataFrame([tuple(r) for r in chosen], f"k {df.schema[key].dataType.simpleString()}, y int")
-    texts = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes)
-    found = texts.join(F.broadcast(few), "k").select("k", "t", "y").toPandas().sort_values(["k", "t"]).drop_duplicates("k")
+    found = short.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t")).toPandas().sort_values("k")
     return [t.encode("utf-8") for t in found["t"]], found["y"].to_numpy()
 
 
