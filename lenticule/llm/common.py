@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,10 +91,50 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Batches of whole texts are bounded by bytes; a session that asks for less keeps its own bound.
+BATCH_BYTES = 4 << 20
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with the package's sources at hand on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with the package's sources at hand on the executors, in batches of bounded size.
+
+    Workers are used again, so each task gives the memory that it has freed back to the system.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(bound).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other systems than Linux
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
+#: Bits of the filter of ``maybe_among``: 2,048 rows of 4,096 bytes at most, whatever the tables' sizes.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+
+
+def maybe_among(df: DataFrame, on: Column, ids: DataFrame, flag: str) -> DataFrame:
+    """``df`` with ``flag``: whether ``on`` may be one of ``ids`` (one column). No shuffle: a hashed bitmap of fixed size is broadcast.
+
+    It is true for all that are among them; the more there are, the more often for others too.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(place(F.col(ids.columns[0])).alias("at"))
+    rows = bits.groupBy((F.col("at") / FILTER_ROW).cast("int").alias("__row")).agg(F.bitmap_construct_agg(F.col("at") % FILTER_ROW).alias("__bits"))
+    met = df.withColumn("__at", place(on)).withColumn("__in", (F.col("__at") / FILTER_ROW).cast("int"))
+    met = met.join(F.broadcast(rows), F.col("__in") == F.col("__row"), "left")
+    at = (F.col("__at") % FILTER_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.select(*names, F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False)).alias(flag))
 
 
 #: Ids are broadcast up to so many of them and bytes of them; beyond that both sides are dealt out by the id.
