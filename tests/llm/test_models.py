@@ -85,6 +85,36 @@ def test_rules_and_models_of_urls(spark):
     assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in (2000, 2001, 2002, 2003, 2004, 2007)] == [("", "", None), ("", "", None), ("a.example.com", "/en/7x", "example.com/en/7"), ("example.net", "/de/81", "example.net/de/8"), ("notcom", "/en/", None), ("b", "", None)]
     assert (got[2002]["verdict"], got[2003]["verdict"], got[2005]["verdict"], got[2006]["verdict"]) == ("allow", "block", "allow", "block")
     assert {x["verdict"] for x in url_filter.judge(df.filter("page_id >= 2004")).collect()} == {"allow"}
+    assert url_filter.judge(df.limit(0)).count() == 0
+    for name in ("host", "path", "rule", "text", "rule_verdict"):
+        named = url_filter.judge(df.drop("host", "text").withColumnRenamed("page_id", name), key=name)
+        assert named.columns[0] == name and named.count() == len(rows)
+    tails = spark.createDataFrame([*rows[:600], (1, "http://x.io/p?aaaa"), (2, "http://x.io/p?zzzz#q")], "page_id long, url string")
+    assert len({x["score"] for x in url_filter.judge(tails).filter("path = '/p'").collect()}) == 2
+
+
+def test_long_urls_are_counted_whole():
+    r = random.Random(9)
+    texts = ["".join(r.choice("abc") for _ in range(n)).encode() for n in (0, 3, url_filter.STRETCH - 1, url_filter.STRETCH, 2 * url_filter.STRETCH + 7, 5)]
+    got = {i: [] for i in range(len(texts))}
+    for owners, pieces in url_filter._stretches(texts, 5):
+        for g, o in zip(*url_filter._grams(owners, pieces, 5), strict=True):
+            got[int(o)].append(int(g))
+    for i, t in enumerate(texts):
+        marked = b"\0" * 5 + t + b"\1"
+        assert got[i] == [int.from_bytes(marked[p - 5 : p + 1]) for p in range(5, len(marked))]
+
+
+def test_rules_on_pages(spark):
+    """Host, path and rule of all given pages, by plain code."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    rules = sorted([("com", "/en/"), ("example.com", "/en/7"), ("net", "/de/"), ("example.net", "/de/8"), ("org", "/es/")], key=lambda x: -len(x[0] + x[1]))
+    for x in registry.op2_url_filter(spark, DATA).join(spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url"), "page_id").collect():
+        rest = x["url"].partition("://")[2] if x["url"] else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [h + p for h, p in rules if (low(host) == h or low(host).endswith("." + h)) and path.startswith(p)]
+        assert (x["host"], x["path"], x["rule"]) == (low(host), path, fits[0] if fits else None)
 
 
 def test_url_scores_are_those_of_exact_counts(spark):
@@ -95,11 +125,11 @@ def test_url_scores_are_those_of_exact_counts(spark):
     path = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400))
     rows = [(i, f"x://{('a.net/de/', 'a.com/en/', 'a.io/')[i % 3]}{path()}") for i in range(600)] + [(600, "x://a.io/"), (601, "x://a.net/de/")]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    trained = {x["url"] for x in df.filter("pmod(xxhash64(substr(url, 5)), 5) <> 0").collect()}
+    trained = {x["url"] for x in df.filter("pmod(xxhash64(url), 5) <> 0").collect()}
     full, bare = ({"net": Counter(), "com": Counter()} for _ in range(2))
 
     def grams(url):
-        t = "\0" * 5 + url[4:] + "\1"
+        t = "\0" * 5 + url + "\1"
         return [[t[i - k : i + 1] for k in range(6)] for i in range(5, len(t))]
 
     for _, url in rows:
@@ -210,6 +240,69 @@ def test_archives(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_long_payloads(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefgh") for _ in range(300_000)) * 60  # 18 MB: the member's length ends in a byte that is not zero
+    rows = [(i, f"u://{i}", t) for i, t in enumerate([long, "a" * 100, long, "b", "a" * 100, *(f"own {i} " * 50_000 for i in range(12))])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {(i, next((j for j, _, u in rows[:i] if u == t), None), len(t)) for i, _, t in rows}
+    seen = []
+    for name, few in (("broadcast", warc.MOST_IDS), ("filtered", 0)):
+        monkeypatch.setattr(warc, "MOST_IDS", few)
+        path = str(tmp_path / name)
+        warc.write_archives(df.repartition(2), path, volume=20_000)
+        found = warc.resolved(warc.read_archives(spark, path))
+        assert {(x["key"], x["refers_to"], x["payload_bytes"]) for x in found.collect()} == want
+        for file in (tmp_path / name).rglob("part-*.txt"):
+            kinds = [h["warc-type"] for h, _ in warc.records(file.read_bytes())]
+            assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+            heads = [h for h, _ in warc.records(file.read_bytes()) if h["warc-type"] == "revisit"]
+            assert all(h["warc-refers-to-target-uri"] == "u://" + h["warc-refers-to"][10:-1] for h in heads)
+            seen.append(file.stat().st_size)
+    assert len(seen) > 4
+    lost = warc.read_archives(spark, path).filter("record_type = 'revisit'")
+    with pytest.raises(Exception, match="not there"):
+        warc.resolved(lost).collect()
+
+
+def test_noisy_or_matches_enumeration():
+    import itertools
+    import math
+
+    model = toxicity.ToxicityModel(bias=-2.0, slope=1.0, shift=0.0, trained=True)
+    logits = [-1.0, 0.5, -3.0]
+    p = [1 / (1 + math.exp(-z)) for z in [model.bias, *logits]]
+    some = sum(math.prod(q if on else 1 - q for q, on in zip(p, case)) for case in itertools.product((0, 1), repeat=len(p)) if any(case))
+    assert model.document(logits) == pytest.approx(some)
+
+
+def test_labels_that_disagree_are_left_out(spark):
+    df = spark.createDataFrame([(1, "one"), (2, "two"), (2, "another two"), (3, "three"), (4, "x" * 100), (6, None)], "doc_id long, text string")
+    labels = [(1, 0), (1, 1), (2, 1), (2, 1), (3, 0), (3, None), (4, 1), (5, 1), (6, 0)]
+    for parts in (1, 2, 5):
+        marks = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts)
+        texts, y = toxicity.labelled_sample(df, marks, "toxic", F.lit(True), "doc_id", "text", 10, 50)
+        assert (texts, y.tolist()) == ([b"another two", b"three", b""], [1, 0, 0])
+    few, _ = toxicity.labelled_sample(df, marks, "toxic", F.lit(True), "doc_id", "text", 2, 50)
+    assert len(few) == 2  # keys without a usable text do not use up the limit
+
+
+def test_training_batches_are_bounded():
+    sizes = [1] * 300 + [40] * 30 + [20_000]
+    batches = list(quality._like_lengths(sizes, 1000))
+    assert sorted(i for b in batches for i in b.tolist()) == list(range(len(sizes)))
+    assert all(len(b) == 1 or len(b) * max(sizes[i] for i in b) <= 1000 for b in batches)
+
+
+def test_models_on_empty_and_repeated_rows(spark):
+    rows = corpus()
+    texts, tox, good = [t.encode() for _, t, _, _ in rows], *(__import__("numpy").array([x[i] for x in rows]) for i in (2, 3))
+    df = spark.createDataFrame([(1, rows[0][1]), (1, rows[0][1]), (2, rows[0][1])], "doc_id long, text string")
+    for scored in (toxicity.score_documents(df, toxicity.train(texts, tox)), quality.score_documents(df, quality.train(texts, good, quality.QualityConfig(epochs=5)))):
+        assert len({x["score"] for x in scored.collect()}) == 1 and scored.count() == 3
+    assert toxicity.score_documents(df.limit(0), toxicity.ToxicityModel()).count() == quality.score_documents(df.limit(0), quality.QualityModel()).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, DATA)
@@ -219,9 +312,11 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_pipeline_against_plain_code(spark):
+    import itertools
+
     import corpus_pipeline
 
-    from lenticule.llm import bpe, decontaminate, simhash
+    from lenticule.llm import bpe, decontaminate
 
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DATA).collect()}
@@ -232,16 +327,15 @@ def test_pipeline_against_plain_code(spark):
     for k, t in left.items():
         best[low(t)] = max(k, best.get(low(t), k))
     left = {k: docs[k] for k in best.values()}
-    prints = {k: simhash.fingerprint(t) for k, t in left.items()}
+    shingles = {}
+    for k, t in left.items():
+        w = t.encode().lower().split()
+        shingles[k] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
     group = {k: k for k in left}
-    changed = True
-    while changed:
-        changed = False
-        for a in left:
-            for b in left:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
-                    group[a] = group[b] = min(group[a], group[b])
-                    changed = True
+    for a, b in itertools.combinations(sorted(left), 2):
+        if group[a] != group[b] and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+            low_, high_ = sorted((group[a], group[b]))
+            group = {k: low_ if g == high_ else g for k, g in group.items()}
     left = {k: t for k, t in left.items() if group[k] == k}
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     hits = decontaminate.brute_force(list(left.items()), items)
