@@ -2,7 +2,12 @@
 
 Documents are told apart by ``doc_id``. Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``docs`` as they came, extra ones included. ``run`` writes what each stage returns to the shared folder and reads it
-again, so that a lost executor costs one stage's work at most.
+again, so that a lost executor costs one stage's work at most; what the stage before returned is deleted then.
+
+Defined results: null text counts as empty in every stage. Rows with a null key are kept by the near-copy stage and told apart by
+nothing but their text elsewhere. Repeated rows are exact copies, and one of them stays. Of all empty texts one stays, too. An empty
+table gives an empty result. Extra columns pass through, whatever their names; ids go to ``ids``, or where ``docs`` has such a column to
+``ids_``.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lenticule.llm import bpe, decontaminate, exact_dedup, near_copies, toxicity
-from lenticule.llm.common import materialise, table
+from lenticule.llm.common import discard, fresh_path, intermediates, table
 from lenticule.llm.registry import BPE_VOCABULARY, TOXIC_FROM, toxicity_model
 
 
@@ -36,7 +41,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their tokens."""
-    return bpe.encode_documents(docs, vocabulary=BPE_VOCABULARY)
+    taken, name = {c.lower() for c in docs.columns}, "ids"
+    while name in taken:
+        name += "_"
+    return bpe.encode_documents(docs, vocabulary=BPE_VOCABULARY, ids=name)
 
 
 STAGES = [
@@ -52,7 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = fresh_path(spark, name.replace(" ", "_"))
+        with intermediates(spark):  # what operators wrote on the way goes once the stage's result is there
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
