@@ -201,3 +201,23 @@ def test_pipeline_stage_drops_all_near_copies(spark):
     left = corpus_pipeline.drop_near_copies(spark, df, None)
     assert left.columns == df.columns and sorted(x["doc_id"] for x in left.collect()) == sorted(k for k, g in want.items() if k == g)
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), None).count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, None), (2, ""), (2, ""), (3, "a b c"), (3, "a b c"), (4, "A b c"), (5, words), (6, words + " x"), (7, "so it says: one two three four"), (None, "no key"), (8, "😀 " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit("mine"), "_metadata": F.lit(1), "node": F.lit(2), "place": F.lit(3), "score": F.lit(4), "hits": F.lit(5)})
+    spark.createDataFrame([(1, "One two, three FOUR"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "some/benchmark.parquet"))
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "some/labels.parquet"))
+    df.write.parquet(str(tmp_path / "some/documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert out.columns == [*df.columns, "ids_"]
+    got = out.collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "no key"), (2, ""), (4, "A b c"), (5, words), (8, rows[-1][1])]
+    assert all(r["ids"] == "mine" and r["hits"] == 5 and (len(r["ids_"]) > 0) == bool(r["text"]) for r in got)
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"some/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
