@@ -1,7 +1,7 @@
 """Matching keypoints across frames: nearest neighbours, mutual matches, cycles of three and pair statistics.
 
-Keypoints are rows (image_id, frame_index, kp_index, x, y, score, descriptor). Frames hold a bounded number of keypoints (4096 by
-default), so an image's similarity blocks fit a task; images are what is spread over the cluster. Everything after the dot products
+Keypoints are rows (image_id, frame_index, kp_index, x, y, score, descriptor). Matching takes the strongest 4096 of a frame, as detection
+does, so an image's similarity blocks fit a task; images are what is spread over the cluster. Everything after the dot products
 is equi-joins on (image, frame, index).
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ class MatchConfig:
     least_similarity: float = 0.55
     most_ratio: float = 0.88
     block: int = 1024
+    most_keypoints: int = 4096
 
 
 def match_pairs(keypoints: DataFrame, pairs: list[tuple[int, int]], config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -29,12 +31,14 @@ def match_pairs(keypoints: DataFrame, pairs: list[tuple[int, int]], config: Matc
     wanted = sorted(set(pairs))
     frames = sorted({f for p in wanted for f in p})
 
-    def solve(image: pd.DataFrame) -> pd.DataFrame:
-        sides = {}
-        for f, part in image.groupby("frame_index"):
-            part = part.sort_values("kp_index")
-            sides[int(f)] = (part["kp_index"].to_numpy(), np.array(part["descriptor"].tolist(), dtype=np.float64))
-        out = []
+    names = [c.split()[0] for c in MATCHES.split(", ")]
+
+    def solve(image: pa.Table) -> pa.Table:
+        image = image.combine_chunks().sort_by([("frame_index", "ascending"), ("kp_index", "ascending")])
+        frame, index = (image[c].to_numpy() for c in ("frame_index", "kp_index"))
+        flat = pc.list_flatten(image["descriptor"]).to_numpy().astype(np.float64).reshape(len(frame), -1)
+        sides = {f: (index[frame == f], flat[frame == f]) for f in np.unique(frame).tolist()}
+        out = [[] for _ in names[1:]]
         for a, b in wanted:
             if a not in sides or b not in sides:
                 continue
@@ -53,11 +57,18 @@ def match_pairs(keypoints: DataFrame, pairs: list[tuple[int, int]], config: Matc
                 good = (best >= config.least_similarity) & ((second <= 0) | (1 - best <= config.most_ratio * (1 - second)))
                 told = (second > 0) & (np.abs(1 - second) > 1e-6)
                 ratio = np.where(told, (1 - best) / np.where(told, 1 - second, 1.0), np.nan)
-                out.append(pd.DataFrame({"image_id": image["image_id"].iloc[0], "frame_a": a, "frame_b": b, "index_a": ids_a[at : at + config.block][good], "index_b": ids_b[first][good], "similarity": best[good], "distance_ratio": ratio[good]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["image_id", "frame_a", "frame_b", "index_a", "index_b", "similarity", "distance_ratio"])
+                found = (np.full(good.sum(), a), np.full(good.sum(), b), ids_a[at : at + config.block][good], ids_b[first][good], best[good], ratio[good])
+                for column, values in zip(out, found, strict=True):
+                    column.append(values)
+        flat_out = [np.concatenate(c) if c else np.empty(0) for c in out]
+        kinds = [pa.int32()] * 4 + [pa.float64()] * 2
+        columns = [pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat_out, kinds, strict=True)]
+        return pa.Table.from_arrays([pa.array([image["image_id"][0].as_py()] * len(columns[0]), pa.string()), *columns], names=names)
 
     usable = keypoints.filter(F.col("descriptor").isNotNull() & F.col("frame_index").isin(frames))
-    found = usable.select("image_id", "frame_index", "kp_index", "descriptor").groupBy("image_id").applyInPandas(solve, MATCHES)
+    if "score" in keypoints.columns:  # the budget of detection: rows beyond it are weaker keypoints than any that an image's detector returns
+        usable = strongest(usable, config.most_keypoints, ["image_id", "frame_index"])
+    found = usable.select("image_id", "frame_index", "kp_index", "descriptor").groupBy("image_id").applyInArrow(solve, MATCHES)
     return found.withColumn("distance_ratio", F.when(~F.isnan("distance_ratio"), F.col("distance_ratio")))
 
 
@@ -81,13 +92,20 @@ def dyadic_pairs(frames: DataFrame, n: str = "n") -> DataFrame:
 
 
 def cyclic_triplets(matches: DataFrame, frames: tuple[int, int, int] = (0, 1, 2)) -> DataFrame:
-    """Keypoints i0, i1, i2 that match around the whole cycle; confidence is the cube root of the product."""
-    f0, f1, f2 = frames
-
-    def side(a: int, b: int, left: str, right: str, name: str) -> DataFrame:
-        return matches.filter((F.col("frame_a") == a) & (F.col("frame_b") == b)).select("image_id", F.col("index_a").alias(left), F.col("index_b").alias(right), F.col("confidence").alias(name))
+    """Keypoints i0, i1, i2 that match around the whole cycle; confidence is the cube root of the product.
 
-    both = side(f0, f1, "i0", "i1", "c01").join(side(f1, f2, "i1", "i2", "c12"), ["image_id", "i1"]).join(side(f0, f2, "i0", "i2", "c02"), ["image_id", "i0", "i2"])
+    Within a pair of frames a keypoint has one match at most, as mutual matches are. So the sides of a cycle meet in two aggregates, first by
+    the keypoint in the middle, then by the outer ones, and the matches, which are dear, are made once.
+    """
+    f0, f1, f2 = frames
+    side = lambda a, b: (F.col("frame_a") == a) & (F.col("frame_b") == b)
+    first, second, outer = side(f0, f1), side(f1, f2), side(f0, f2)
+    middle = F.when(first, F.col("index_b")).when(second, F.col("index_a"))
+    one = matches.filter(first | second | outer).groupBy("image_id", middle.alias("i1"), F.when(outer, F.struct("index_a", "index_b")).alias("ends")).agg(
+        *(F.max(F.when(on, F.col(c))).alias(name) for name, on, c in (("i0", first, "index_a"), ("i2", second, "index_b"), ("c01", first, "confidence"), ("c12", second, "confidence"), ("c02", outer, "confidence")))
+    )
+    one = one.withColumns({"i0": F.coalesce("i0", "ends.index_a"), "i2": F.coalesce("i2", "ends.index_b")}).filter("i0 is not null and i2 is not null")
+    both = one.groupBy("image_id", "i0", "i2").agg(*(F.max(c).alias(c) for c in ("i1", "c01", "c12", "c02"))).filter("i1 is not null and c02 is not null")
     return both.select("image_id", "i0", "i1", "i2", F.cbrt(F.col("c01") * F.col("c12") * F.col("c02")).alias("confidence"))
 
 

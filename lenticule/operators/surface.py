@@ -91,9 +91,11 @@ def displacements(triplets: DataFrame) -> DataFrame:
 
 def surface_shifts(points: DataFrame, size: float, tolerance: float, key: str = "image_id") -> DataFrame:
     """Mean displacement over the selected cluster: one row (key, n, dx0, dy0, dx2, dy2); the middle frame stays."""
-    hist = select_bins(bin_counts(points, key, "d", size), key, size, tolerance).filter("selected").select(key, "bin")
-    chosen = points.filter("d > 0").withColumn("bin", F.floor(1.0 / F.col("d") / F.lit(size))).join(hist, [key, "bin"])
-    return chosen.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
+    axes = ("dx0", "dy0", "dx2", "dy2")
+    # sums by bin: the points are read once, and only bins are windowed
+    bins = points.filter("d > 0").groupBy(key, F.floor(1.0 / F.col("d") / F.lit(size)).alias("bin")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in axes))
+    chosen = select_bins(bins, key, size, tolerance).filter("selected")
+    return chosen.groupBy(key).agg(F.sum("n").alias("n"), *((F.sum(c) / F.sum("n")).alias(c) for c in axes))
 
 
 def face_priority_shifts(points: DataFrame, boxes: DataFrame, size: float, tolerance: float, key: str = "image_id") -> DataFrame:

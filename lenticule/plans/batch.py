@@ -68,7 +68,7 @@ def profiles(images: DataFrame) -> DataFrame:
 def regions(images: DataFrame, frames: int = 3) -> DataFrame:
     """key, strategy, confidence and rects (start and length as shares of the longer side), one row for each image."""
     curves = profiles(images)
-    cut = partition_engine(curves, frames).join(curves.groupBy("key").agg(F.count("*").alias("n")), "key")
+    cut = partition_engine(curves, frames)
     rows = cut.withColumn("s", F.struct("frame", (F.col("start") / F.col("n")).alias("start"), (F.col("length") / F.col("n")).alias("length")))
     return rows.groupBy("key", "strategy", "confidence").agg(F.array_sort(F.collect_list("s")).alias("rects"))
 

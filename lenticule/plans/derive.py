@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,7 +41,7 @@ SERIES = "SELECT user_id AS key, event_id AS pos, value FROM events"
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips of 300 positions in three frames, with gutters whose place and depth vary by strip."""
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 200").select(k.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("pos"))
+    rows = table(spark, sf_dir, "part").select(k.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("pos"))
     k = F.col("key")
     gutter = F.col("pos").between(95 + k % 4, 104 + k % 6) | F.col("pos").between(195 - k % 3, 203 + k % 5)
     return rows.select("key", F.col("pos").cast("int").alias("pos"), F.when(gutter, (k % 30) + F.col("pos") % 3).otherwise(120 + (F.col("pos") * 7 + k * 11) % 90).cast("int").alias("v"))
@@ -47,7 +49,7 @@ def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STRIPS = """SELECT key, CAST(pos AS INT) AS pos, CAST(CASE WHEN pos BETWEEN 95 + key % 4 AND 104 + key % 6 OR pos BETWEEN 195 - key % 3 AND 203 + key % 5
   THEN key % 30 + pos % 3 ELSE 120 + (pos * 7 + key * 11) % 90 END AS INT) AS v
-  FROM (SELECT p_partkey AS key, unnest(range(300)) AS pos FROM part WHERE p_partkey < 200)"""
+  FROM (SELECT p_partkey AS key, unnest(range(300)) AS pos FROM part)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,25 +73,45 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIZES = "SELECT o_orderkey AS image_id, CAST(o_orderkey * 31 % 1900 AS INT) AS width, CAST(o_orderkey * 17 % 1900 AS INT) AS height, o_totalprice AS price FROM orders"
 
 
+#: Embeddings of one image.
+PER_IMAGE = 250
+
+
+def _placed(k: Column, f: Column) -> list[Column]:
+    return [(300.0 + k * 37 % 500 - f * (5 + k % 40)).alias("x"), (100.0 + k * 91 % 400 + f * F.when(k % 11 == 0, 40).otherwise(1)).alias("y")]
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the keypoints lie: image_id, frame_index, kp_index, x, y, without their descriptors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("f"))
+    return rows.select(_image(F.col("id")).alias("image_id"), F.col("f").alias("frame_index"), F.col("id").cast("int").alias("kp_index"), *_placed(F.col("id"), F.col("f")))
+
+
+def _image(k: Column) -> Column:
+    return F.concat(F.lit("views"), F.floor(k / PER_IMAGE).cast("string"))
+
+
 def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three views of every embedding: the first as it is, the others mixed with another embedding, at places that shift by frame."""
+    """Three views of every embedding: the first as it is, the others mixed with another embedding of its image (or itself, where the image has
+    none in that place), at places that shift by frame."""
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    n = base.agg(F.count("*").alias("n"))
-    frames = base.crossJoin(n).withColumn("f", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("other", (F.col("id") + 17 * F.col("f")) % F.col("n"))
-    both = frames.join(base.select(F.col("id").alias("other"), F.col("e").alias("o")), "other")
-    mixed = F.zip_with("e", "o", lambda a, b: a + F.when(F.col("f") == 0, 0.0).otherwise(0.35) * b)
-    both = both.withColumn("m", mixed).withColumn("norm", F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x)))
     k, f = F.col("id"), F.col("f")
+    frames = base.withColumn("f", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    frames = frames.withColumn("other", F.floor(k / PER_IMAGE) * PER_IMAGE + (k % PER_IMAGE + 17 * f) % PER_IMAGE)
+    both = frames.join(base.select(k.alias("other"), F.col("e").alias("o")), "other", "left")
+    mixed = F.zip_with("e", F.coalesce("o", "e"), lambda a, b: a + F.when(f == 0, 0.0).otherwise(0.35) * b)
+    # bound, or the norm would be worked out again for every element
+    length = lambda m: F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x))
+    unit = let(mixed, lambda m: let(length(m), lambda norm: F.transform(m, lambda x: x / norm)))
     return both.select(
-        F.lit("views").alias("image_id"), f.alias("frame_index"), k.cast("int").alias("kp_index"),
-        (300.0 + k * 37 % 500 - f * (5 + k % 40)).alias("x"), (100.0 + k * 91 % 400 + f * F.when(k % 11 == 0, 40).otherwise(1)).alias("y"),
-        (k * 13 % 101 / 101.0).alias("score"), F.transform("m", lambda x: x / F.col("norm")).alias("descriptor"),
+        _image(k).alias("image_id"), f.alias("frame_index"), k.cast("int").alias("kp_index"), *_placed(k, f),
+        (k * 13 % 101 / 101.0).alias("score"), unit.alias("descriptor"),
     )
 
 
-KEYPOINTS = """SELECT 'views' AS image_id, f AS frame_index, CAST(id AS INT) AS kp_index, 300.0::DOUBLE + id * 37 % 500 - f * (5 + id % 40) AS x,
+KEYPOINTS = """SELECT 'views' || (id // 250) AS image_id, f AS frame_index, CAST(id AS INT) AS kp_index, 300.0::DOUBLE + id * 37 % 500 - f * (5 + id % 40) AS x,
   100.0::DOUBLE + id * 91 % 400 + f * CASE WHEN id % 11 = 0 THEN 40 ELSE 1 END AS y, (id * 13 % 101) / 101.0::DOUBLE AS score,
   list_transform(m, lambda v: v / sqrt(list_sum(list_transform(m, lambda w: w * w)))) AS descriptor
   FROM (SELECT a.id, a.f, list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] + CASE WHEN a.f = 0 THEN 0.0 ELSE 0.35 END * b.e[i]) AS m
-    FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS e, unnest([0, 1, 2]) AS f, (SELECT count(*) FROM embeddings) AS n FROM embeddings) a
-    JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.id = (a.id + 17 * a.f) % a.n)"""
+    FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS e, unnest([0, 1, 2]) AS f FROM embeddings) a
+    LEFT JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings) b0 ON b0.id = a.id // 250 * 250 + (a.id % 250 + 17 * a.f) % 250, LATERAL (SELECT coalesce(b0.e, a.e) AS e) b)"""

@@ -73,18 +73,18 @@ def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.run_lengths(d.series(spark, sf_dir), ["key"], "pos", F.col("value") >= 50).select("key", "flag", "start", "length")
 
 
-_FIT = f"""WITH s AS ({d.STRIPS}), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v) - 1 AS rk, count(*) OVER (PARTITION BY key) AS n FROM s),
-f AS (SELECT key, any_value(n) AS n, min(v) AS low, min(v) FILTER (rk = n * 4 // 5) AS high, min(v) FILTER (rk = n // 2) AS med FROM r GROUP BY key),
-t AS (SELECT *, unnest(range(low + 1, high + 1)) AS t FROM f WHERE high > low AND n >= 60), j AS (SELECT s.key, s.pos, t.t, s.v >= t.t AS flag FROM s JOIN t USING (key)),
-runs AS ({_RUNS.format(t=", t", src="FROM j")}),
-q AS (SELECT key, t, list(struct_pack(start, length, flag) ORDER BY start) AS runs FROM runs GROUP BY ALL),
-ok AS (SELECT q.key, q.t, runs, list_transform(runs, lambda x: x.length) AS sign, f.low, f.med FROM q JOIN f USING (key) WHERE len(runs) = 5 AND runs[1].flag
- AND len(list_filter(runs, lambda x: CASE WHEN x.flag THEN x.length BETWEEN 0.65 * n / 3 AND 1.35 * n / 3 ELSE x.length BETWEEN greatest(round(0.008 * n / 3), 4) AND greatest(round(0.1 * n / 3), 8) END)) = 5),
+_FIT = f"""WITH s AS ({d.STRIPS}), g AS (SELECT key, list(v ORDER BY pos) AS vs, count(*) AS n FROM s GROUP BY key),
+f AS (SELECT *, list_min(vs) AS low, list_sort(vs)[n * 4 // 5 + 1] AS high, list_sort(vs)[n // 2 + 1] AS med FROM g),
+t AS (SELECT *, unnest(range(low + 1, high + 1)) AS t FROM f WHERE high > low AND n >= 60),
+j AS (SELECT key, t, n, low, med, list_filter(range(1, n), lambda i: (vs[i + 1] >= t) <> (vs[i] >= t)) AS cuts FROM t WHERE vs[1] >= t),
+e AS (SELECT *, list_concat(list_concat([0], cuts), [n]) AS edges FROM j WHERE len(cuts) = 4),
+q AS (SELECT *, list_transform(range(1, 6), lambda i: edges[i + 1] - edges[i]) AS sign FROM e),
+ok AS (SELECT * FROM q WHERE len(list_filter(range(1, 6), lambda i: CASE WHEN i % 2 = 1 THEN sign[i] BETWEEN 0.65 * n / 3 AND 1.35 * n / 3 ELSE sign[i] BETWEEN greatest(round(0.008 * n / 3), 4) AND greatest(round(0.1 * n / 3), 8) END)) = 5),
 c AS (SELECT *, count(*) OVER (PARTITION BY key, sign) AS times, min(t) OVER (PARTITION BY key) AS lo, max(t) OVER (PARTITION BY key) AS hi FROM ok),
-best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY (times >= 3) DESC, CASE WHEN times >= 3 THEN 0 ELSE -times END, t) = 1)"""
+best AS (SELECT *, list_transform([1, 3, 5], lambda i: struct_pack(start := edges[i], length := sign[i])) AS spans FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY (times >= 3) DESC, CASE WHEN times >= 3 THEN 0 ELSE -times END, t) = 1)"""
 
 
-@query(_FIT + " SELECT key, CAST(t AS INT) AS threshold, list_aggregate(list_transform(list_filter(runs, lambda x: x.flag), lambda x: x.start || '+' || x.length), 'string_agg', ';') AS spans, round(least(greatest(2.0 * (hi - lo + 1) / greatest(med - low, 1), 0), 1), 6) AS confidence FROM best")
+@query(_FIT + " SELECT key, CAST(t AS INT) AS threshold, list_aggregate(list_transform(spans, lambda x: x.start || '+' || x.length), 'string_agg', ';') AS spans, round(least(greatest(2.0 * (hi - lo + 1) / greatest(med - low, 1), 0), 1), 6) AS confidence FROM best")
 def threshold_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = partition.threshold_partition(d.strips(spark, sf_dir), 3)
     text = F.array_join(F.transform("spans", lambda x: F.concat(x["start"], F.lit("+"), x["length"])), ";")
@@ -111,8 +111,7 @@ SELECT key, CAST(least(coalesce(a, most), most) AS INT) AS first, CAST(greatest(
 
 @query(_MARGINS)
 def scan_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strips = d.strips(spark, sf_dir)
-    return partition.scan_margins(strips, partition.gutter_spans(strips, 3))
+    return partition.scan_margins(d.strips(spark, sf_dir), 3)
 
 
 _GRID = f"""SELECT * FROM (WITH g AS ({_GUTTERS}), e AS (SELECT key, gutter, start, "end" FROM g UNION ALL SELECT key, 0, 0, first - 1 FROM ({_MARGINS}) UNION ALL SELECT key, 3, last + 1, 0 FROM ({_MARGINS})),
@@ -132,11 +131,11 @@ _HOLDS = """SELECT key, count(*) = 3 AND bool_and(length BETWEEN round(n / 3.0 *
 
 @query(_HOLDS.format(src=f"SELECT key, 300 AS n, start, length FROM ({_GRID})"))
 def partition_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.reasonable(partition.optimal_grid(d.strips(spark, sf_dir), 3).withColumn("n", F.lit(300)), 3)
+    return partition.reasonable(partition.optimal_grid(d.strips(spark, sf_dir), 3), 3)
 
 
 @query(
-    f"""{_FIT}, th AS (SELECT key, unnest(list_filter(runs, lambda x: x.flag)) AS s, round(least(greatest(2.0 * (hi - lo + 1) / greatest(med - low, 1), 0), 1), 6) AS confidence FROM best),
+    f"""{_FIT}, th AS (SELECT key, unnest(spans) AS s, round(least(greatest(2.0 * (hi - lo + 1) / greatest(med - low, 1), 0), 1), 6) AS confidence FROM best),
 a AS (SELECT key, 'TopologicalThreshold' AS strategy, confidence, s.start AS start, s.length AS length FROM th), b AS (SELECT key, 'BoundedValleyGrid' AS strategy, 0.5 AS confidence, start, length FROM ({_GRID})),
 va AS ({_HOLDS.format(src="SELECT key, 300 AS n, start, length FROM a")}), vb AS ({_HOLDS.format(src="SELECT key, 300 AS n, start, length FROM b")}),
 keys AS (SELECT DISTINCT key FROM s), ca AS (SELECT a.* FROM a JOIN va USING (key) WHERE reasonable), cb AS (SELECT b.* FROM b JOIN vb USING (key) WHERE reasonable AND key NOT IN (SELECT key FROM ca)),

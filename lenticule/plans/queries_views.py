@@ -13,24 +13,24 @@ PAIRS = [(0, 1), (1, 2), (0, 2)]
 BIN, TOLERANCE = 0.004, 0.01
 
 _K = f"k AS MATERIALIZED ({d.KEYPOINTS})"
-_MATCH = """dots AS MATERIALIZED (SELECT a.frame_index AS frame_a, b.frame_index AS frame_b, a.kp_index AS index_a, b.kp_index AS index_b, list_inner_product(a.descriptor, b.descriptor) AS s FROM k a JOIN k b ON a.frame_index <> b.frame_index),
-top AS (SELECT *, row_number() OVER w AS r, lead(s) OVER w AS s2 FROM dots WINDOW w AS (PARTITION BY frame_a, frame_b, index_a ORDER BY s DESC, index_b)),
-found AS MATERIALIZED (SELECT frame_a, frame_b, index_a, index_b, s, s2 FROM top WHERE r = 1 AND s >= 0.55 AND (s2 <= 0 OR 1 - s <= 0.88 * (1 - s2))),
-mutual AS MATERIALIZED (SELECT p.frame_a, p.frame_b, p.index_a, p.index_b, least(p.s, q.s) AS confidence FROM found p JOIN found q ON p.frame_a = q.frame_b AND p.frame_b = q.frame_a AND p.index_a = q.index_b AND p.index_b = q.index_a WHERE p.frame_a < p.frame_b)"""
-_TRIPLE = """tri AS (SELECT a.index_a AS i0, a.index_b AS i1, b.index_b AS i2, cbrt(a.confidence * b.confidence * c.confidence) AS confidence FROM mutual a JOIN mutual b ON a.index_b = b.index_a JOIN mutual c ON c.index_a = a.index_a AND c.index_b = b.index_b
+_MATCH = """dots AS MATERIALIZED (SELECT a.frame_index AS frame_a, b.frame_index AS frame_b, a.image_id AS image_id, a.kp_index AS index_a, b.kp_index AS index_b, list_inner_product(a.descriptor, b.descriptor) AS s FROM k a JOIN k b ON a.image_id = b.image_id AND a.frame_index <> b.frame_index),
+top AS (SELECT *, row_number() OVER w AS r, lead(s) OVER w AS s2 FROM dots WINDOW w AS (PARTITION BY image_id, frame_a, frame_b, index_a ORDER BY s DESC, index_b)),
+found AS MATERIALIZED (SELECT image_id, frame_a, frame_b, index_a, index_b, s, s2 FROM top WHERE r = 1 AND s >= 0.55 AND (s2 <= 0 OR 1 - s <= 0.88 * (1 - s2))),
+mutual AS MATERIALIZED (SELECT p.image_id, p.frame_a, p.frame_b, p.index_a, p.index_b, least(p.s, q.s) AS confidence FROM found p JOIN found q ON p.image_id = q.image_id AND p.frame_a = q.frame_b AND p.frame_b = q.frame_a AND p.index_a = q.index_b AND p.index_b = q.index_a WHERE p.frame_a < p.frame_b)"""
+_TRIPLE = """tri AS (SELECT a.image_id, a.index_a AS i0, a.index_b AS i1, b.index_b AS i2, cbrt(a.confidence * b.confidence * c.confidence) AS confidence FROM mutual a JOIN mutual b ON a.image_id = b.image_id AND a.index_b = b.index_a JOIN mutual c ON c.image_id = a.image_id AND c.index_a = a.index_a AND c.index_b = b.index_b
  WHERE a.frame_a = 0 AND a.frame_b = 1 AND b.frame_a = 1 AND b.frame_b = 2 AND c.frame_a = 0 AND c.frame_b = 2),
-pts AS (SELECT tri.*, k0.x AS x0, k0.y AS y0, k1.x AS x1, k1.y AS y1, k2.x AS x2, k2.y AS y2 FROM tri JOIN k k0 ON k0.frame_index = 0 AND k0.kp_index = i0 JOIN k k1 ON k1.frame_index = 1 AND k1.kp_index = i1 JOIN k k2 ON k2.frame_index = 2 AND k2.kp_index = i2),
+pts AS (SELECT tri.*, k0.x AS x0, k0.y AS y0, k1.x AS x1, k1.y AS y1, k2.x AS x2, k2.y AS y2 FROM tri JOIN k k0 ON k0.image_id = tri.image_id AND k0.frame_index = 0 AND k0.kp_index = i0 JOIN k k1 ON k1.image_id = tri.image_id AND k1.frame_index = 1 AND k1.kp_index = i1 JOIN k k2 ON k2.image_id = tri.image_id AND k2.frame_index = 2 AND k2.kp_index = i2),
 gate AS (SELECT *, 1 + 1.5 * least((pow(x0 - 500, 2) + pow(y0 - 300, 2)) / (250000 + 90000), 1) AS slack FROM pts),
-kept AS MATERIALIZED (SELECT *, abs(x0 - x1) AS disparity_01, abs(x1 - x2) AS disparity_12 FROM gate WHERE greatest(abs(y0 - y1), abs(y1 - y2), abs(y0 - y2)) <= 25 * slack AND NOT (abs(x0 - x1) > 4 AND abs(x1 - x2) > 4 AND (x0 - x1) * (x1 - x2) < 0)
+kept AS MATERIALIZED (SELECT *, abs(x0 - x1) AS disparity_01, abs(x1 - x2) AS disparity_12, abs((x0 - x2) - ((x0 - x1) + (x1 - x2))) AS cascade FROM gate WHERE greatest(abs(y0 - y1), abs(y1 - y2), abs(y0 - y2)) <= 25 * slack AND NOT (abs(x0 - x1) > 4 AND abs(x1 - x2) > 4 AND (x0 - x1) * (x1 - x2) < 0)
  AND NOT (abs(x0 - x2) > 4 AND abs(x0 - x1) > 4 AND (x0 - x2) * (x0 - x1) < 0))"""
 _BASE = f"WITH {_K}, {_MATCH}, {_TRIPLE}"
-_SURFACE = f"""{_BASE}, disp AS (SELECT (disparity_01 + disparity_12) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept),
-bins AS (SELECT CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0 GROUP BY ALL),
-cl AS (SELECT bin, n, sum(new) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (ORDER BY bin) > greatest(ceil({TOLERANCE / BIN}), 1) THEN 1 ELSE 0 END AS new FROM bins)),
-st AS (SELECT min(bin) AS s FROM bins WHERE n >= greatest(ceil((SELECT sum(n) FROM bins) * 0.01), 1)),
-up AS (SELECT bin, CASE WHEN bin > s AND (bin - lag(bin) OVER w <> 1 OR n < max(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 1 ELSE 0 END AS brk FROM bins, st WHERE bin >= s WINDOW w AS (ORDER BY bin)),
-tg AS (SELECT max(bin) AS target FROM (SELECT bin, sum(brk) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS stop FROM up) WHERE stop = 0),
-ch AS (SELECT cluster AS chosen FROM cl, tg WHERE bin = target)"""
+_SURFACE = f"""{_BASE}, disp AS (SELECT image_id, (disparity_01 + disparity_12) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept),
+bins AS (SELECT image_id, CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0 GROUP BY ALL),
+cl AS (SELECT image_id, bin, n, sum(new) OVER (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY image_id ORDER BY bin) > greatest(ceil({TOLERANCE / BIN}), 1) THEN 1 ELSE 0 END AS new FROM bins)),
+st AS (SELECT image_id, min(bin) AS s FROM (SELECT *, sum(n) OVER (PARTITION BY image_id) AS total FROM bins) WHERE n >= greatest(ceil(total * 0.01), 1) GROUP BY ALL),
+up AS (SELECT image_id, bin, CASE WHEN bin > s AND (bin - lag(bin) OVER w <> 1 OR n < max(n) OVER (PARTITION BY image_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 1 ELSE 0 END AS brk FROM bins JOIN st USING (image_id) WHERE bin >= s WINDOW w AS (PARTITION BY image_id ORDER BY bin)),
+tg AS (SELECT image_id, max(bin) AS target FROM (SELECT image_id, bin, sum(brk) OVER (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS stop FROM up) WHERE stop = 0 GROUP BY ALL),
+ch AS (SELECT image_id, cluster AS chosen FROM cl JOIN tg USING (image_id) WHERE bin = target)"""
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,86 +38,82 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = d.keypoints(spark, sf_dir)
-    # the three sides of the cycle, and every use of the triplets, read these; they are small next to the dot products behind them
-    found = matching.mutual_matches(k, PAIRS).persist()
-    tri = matching.with_points(matching.cyclic_triplets(found), k)
+    tri = matching.with_points(matching.cyclic_triplets(_matches(spark, sf_dir)), d.points(spark, sf_dir))
     return matching.verify_triplets(tri, size=(F.lit(1000.0), F.lit(600.0)))
 
 
-@query(f"WITH {_K}, {_MATCH} SELECT index_a, index_b, round(s, 5) AS similarity, round(CASE WHEN s2 > 0 AND abs(1 - s2) > 1e-6 THEN (1 - s) / (1 - s2) END, 5) AS distance_ratio FROM found WHERE frame_a = 0 AND frame_b = 1")
+@query(f"WITH {_K}, {_MATCH} SELECT image_id, index_a, index_b, round(s, 5) AS similarity, round(CASE WHEN s2 > 0 AND abs(1 - s2) > 1e-6 THEN (1 - s) / (1 - s2) END, 5) AS distance_ratio FROM found WHERE frame_a = 0 AND frame_b = 1")
 def descriptor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matching.match_pairs(d.keypoints(spark, sf_dir), [(0, 1)])
-    return m.select("index_a", "index_b", F.round("similarity", 5).alias("similarity"), F.round("distance_ratio", 5).alias("distance_ratio"))
+    return m.select("image_id", "index_a", "index_b", F.round("similarity", 5).alias("similarity"), F.round("distance_ratio", 5).alias("distance_ratio"))
 
 
-@query(f"WITH {_K}, {_MATCH} SELECT frame_a, frame_b, index_a, index_b, round(confidence, 5) AS confidence FROM mutual")
+@query(f"WITH {_K}, {_MATCH} SELECT image_id, frame_a, frame_b, index_a, index_b, round(confidence, 5) AS confidence FROM mutual")
 def mutual_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir).select("frame_a", "frame_b", "index_a", "index_b", F.round("confidence", 5).alias("confidence"))
+    return _matches(spark, sf_dir).select("image_id", "frame_a", "frame_b", "index_a", "index_b", F.round("confidence", 5).alias("confidence"))
 
 
-@query(f"{_BASE} SELECT i0, i1, i2, round(confidence, 5) AS confidence FROM tri")
+@query(f"{_BASE} SELECT image_id, i0, i1, i2, round(confidence, 5) AS confidence FROM tri")
 def triplet_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.cyclic_triplets(_matches(spark, sf_dir).persist()).select("i0", "i1", "i2", F.round("confidence", 5).alias("confidence"))
+    return matching.cyclic_triplets(_matches(spark, sf_dir)).select("image_id", "i0", "i1", "i2", F.round("confidence", 5).alias("confidence"))
 
 
-@query(f"{_BASE} SELECT i0, i1, i2, disparity_01, disparity_12 FROM kept")
+@query(f"{_BASE} SELECT image_id, i0, i1, i2, disparity_01, disparity_12, round(cascade, 6) AS cascade_error FROM kept")
 def triplet_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _triplets(spark, sf_dir).select("i0", "i1", "i2", "disparity_01", "disparity_12")
+    return _triplets(spark, sf_dir).select("image_id", "i0", "i1", "i2", "disparity_01", "disparity_12", F.round("cascade_error", 6).alias("cascade_error"))
 
 
-@query(f"WITH {_K}, {_MATCH} SELECT m.frame_a, m.frame_b, median(p.x - q.x) AS base, median(q.y - p.y) AS \"cross\", count(*) AS n FROM mutual m JOIN k p ON p.frame_index = m.frame_a AND p.kp_index = m.index_a JOIN k q ON q.frame_index = m.frame_b AND q.kp_index = m.index_b GROUP BY ALL")
+@query(f"WITH {_K}, {_MATCH} SELECT m.image_id, m.frame_a, m.frame_b, median(p.x - q.x) AS base, median(q.y - p.y) AS \"cross\", count(*) AS n FROM mutual m JOIN k p ON p.image_id = m.image_id AND p.frame_index = m.frame_a AND p.kp_index = m.index_a JOIN k q ON q.image_id = m.image_id AND q.frame_index = m.frame_b AND q.kp_index = m.index_b GROUP BY ALL")
 def pair_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = d.keypoints(spark, sf_dir)
-    return matching.pair_observations(matching.mutual_matches(k, PAIRS), k).drop("image_id")
+    return matching.pair_observations(_matches(spark, sf_dir), d.points(spark, sf_dir))
 
 
-@query(f"{_BASE} SELECT median(x0 - x1) AS base_01, median(y1 - y0) AS cross_01, median(x1 - x2) AS base_12, median(x0 - x2) AS base_02, median(y1 - y0) - 0.5 * median(y2 - y0) AS sag, round(median(x0 - x1) / median(x1 - x2), 6) AS ratio, count(*) AS inliers FROM kept")
+@query(f"{_BASE} SELECT image_id, median(x0 - x1) AS base_01, median(y1 - y0) AS cross_01, median(x1 - x2) AS base_12, median(x0 - x2) AS base_02, median(y1 - y0) - 0.5 * median(y2 - y0) AS sag, round(median(x0 - x1) / median(x1 - x2), 6) AS ratio, round(sqrt(avg(cascade * cascade)), 6) AS rmse, count(*) AS inliers FROM kept GROUP BY image_id")
 def chassis_extrinsics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.chassis(_triplets(spark, sf_dir)).select("base_01", "cross_01", "base_12", "base_02", "sag", F.round("ratio", 6).alias("ratio"), "inliers")
+    return matching.chassis(_triplets(spark, sf_dir)).select("image_id", "base_01", "cross_01", "base_12", "base_02", "sag", F.round("ratio", 6).alias("ratio"), F.round("rmse", 6).alias("rmse"), "inliers")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surface.displacements(_triplets(spark, sf_dir)).persist()
+    return surface.displacements(_triplets(spark, sf_dir))
 
 
-@query(f"{_SURFACE}, r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM bins) SELECT r.bin, round((r.bin + 0.5) * {BIN}::DOUBLE, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT sum(n) FROM bins), 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl USING (bin), ch")
+@query(f"{_SURFACE}, r AS (SELECT image_id, unnest(range(min(bin), max(bin) + 1)) AS bin, sum(n) AS total FROM bins GROUP BY image_id) SELECT r.image_id, r.bin, round((r.bin + 0.5) * {BIN}::DOUBLE, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl ON cl.image_id = r.image_id AND cl.bin = r.bin LEFT JOIN ch ON ch.image_id = r.image_id")
 def disparity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = surface.histogram(surface.bin_counts(_points(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
-    return h.select("bin", F.round("bin_center", 6).alias("bin_center"), "n", F.round("fraction", 6).alias("fraction"), "selected")
+    return h.select("image_id", "bin", F.round("bin_center", 6).alias("bin_center"), "n", F.round("fraction", 6).alias("fraction"), "selected")
 
 
 @query(
-    f"""WITH s AS (SELECT user_id AS key, value AS d FROM events WHERE value > 0.5), b AS (SELECT key, CAST(floor(1.0 / d / 0.002::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY ALL)
+    f"""WITH s AS (SELECT user_id AS key, value AS d FROM events WHERE value > 0), b AS (SELECT key, CAST(floor(1.0 / d / 0.002::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY ALL)
 SELECT key, bin, n, CAST(sum(new) OVER (PARTITION BY key ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY key ORDER BY bin) > 5 THEN 1 ELSE 0 END AS new FROM b)"""
 )
 def bin_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = d.series(spark, sf_dir).filter("value > 0.5").select("key", F.col("value").alias("d"))
+    points = d.series(spark, sf_dir).filter("value > 0").select("key", F.col("value").alias("d"))
     return surface.clusters(surface.bin_counts(points, "key", "d", 0.002), "key", 0.002, 0.01)
 
 
 @query(
-    """WITH s AS (SELECT user_id AS key, value AS d FROM events WHERE value > 0.5), b AS (SELECT key, CAST(floor(1.0 / d / 0.002::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY ALL),
+    """WITH s AS (SELECT user_id AS key, value AS d FROM events WHERE value > 0), b AS (SELECT key, CAST(floor(1.0 / d / 0.002::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY ALL),
 t AS (SELECT key, min(bin) AS s FROM (SELECT *, sum(n) OVER (PARTITION BY key) AS a FROM b) WHERE n >= greatest(ceil(a * 0.01), 1) GROUP BY key),
 u AS (SELECT key, bin, CASE WHEN bin > s AND (bin - lag(bin) OVER w <> 1 OR n < max(n) OVER (PARTITION BY key ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 1 ELSE 0 END AS brk FROM b JOIN t USING (key) WHERE bin >= s WINDOW w AS (PARTITION BY key ORDER BY bin))
 SELECT key, max(bin) AS target FROM (SELECT key, bin, sum(brk) OVER (PARTITION BY key ORDER BY bin ROWS UNBOUNDED PRECEDING) AS stop FROM u) WHERE stop = 0 GROUP BY key"""
 )
 def foreground_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = d.series(spark, sf_dir).filter("value > 0.5").select("key", F.col("value").alias("d"))
+    points = d.series(spark, sf_dir).filter("value > 0").select("key", F.col("value").alias("d"))
     return surface.foreground_bin(surface.bin_counts(points, "key", "d", 0.002), "key")
 
 
-@query(f"{_SURFACE} SELECT count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp JOIN cl ON cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON cluster = chosen WHERE d > 0")
+@query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0 GROUP BY disp.image_id")
 def surface_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = surface.surface_shifts(_points(spark, sf_dir), BIN, TOLERANCE)
-    return s.select("n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
+    return s.select("image_id", "n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
 
 
-@query(f"{_SURFACE} SELECT count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp WHERE x1 BETWEEN 400 AND 600 AND y1 BETWEEN 200 AND 350")
+@query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp WHERE x1 BETWEEN 400 AND 600 AND y1 BETWEEN 200 AND 350 GROUP BY disp.image_id")
 def face_priority_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = spark.range(1).select(F.lit("views").alias("image_id"), F.lit(400.0).alias("x"), F.lit(200.0).alias("y"), F.lit(200.0).alias("width"), F.lit(150.0).alias("height"))
+    box = d.points(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(400.0).alias("x"), F.lit(200.0).alias("y"), F.lit(200.0).alias("width"), F.lit(150.0).alias("height"))
     s = surface.face_priority_shifts(_points(spark, sf_dir), box, BIN, TOLERANCE)
-    return s.select("n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
+    return s.select("image_id", "n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
 
 
 @query(
@@ -129,9 +125,9 @@ def dyadic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.dyadic_pairs(n)
 
 
-@query(f"SELECT frame_index, kp_index, score FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, kp_index) AS r FROM ({d.KEYPOINTS})) WHERE r <= 50")
+@query(f"SELECT image_id, frame_index, kp_index, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, frame_index ORDER BY score DESC, kp_index) AS r FROM ({d.KEYPOINTS})) WHERE r <= 50")
 def keypoint_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.strongest(d.keypoints(spark, sf_dir), 50, ["image_id", "frame_index"]).select("frame_index", "kp_index", "score")
+    return matching.strongest(d.keypoints(spark, sf_dir), 50, ["image_id", "frame_index"]).select("image_id", "frame_index", "kp_index", "score")
 
 
 @query(
@@ -173,6 +169,5 @@ def irls_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera positions of the three views; iterative, so there is no SQL."""
     from ..operators import extrinsics
 
-    k = d.keypoints(spark, sf_dir)
-    r = extrinsics.estimate(matching.pair_observations(matching.mutual_matches(k, PAIRS), k))
+    r = extrinsics.estimate(matching.pair_observations(_matches(spark, sf_dir), d.points(spark, sf_dir)))
     return r.select("image_id", F.posexplode(F.arrays_zip("x", "y")).alias("camera", "p"), F.round("rmse_after", 4).alias("rmse")).select("image_id", "camera", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"), "rmse")

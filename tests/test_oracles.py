@@ -25,5 +25,5 @@ def test_query_without_sql_runs(spark, name):
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["n", "dx0", "dy0", "dx2", "dy2"]
+    assert entry.entry(spark).columns == ["image_id", "n", "dx0", "dy0", "dx2", "dy2"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
