@@ -110,7 +110,7 @@ class _Fits(dict):
 class PrefixBpe:
     """Exact byte-level BPE for a vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, memo_entries: int = 250_000, memo_chars: int = 48):
+    def __init__(self, path: str, memo_entries: int = 80_000, memo_chars: int = 48):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in enumerate(byte_alphabet())}

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialise, without
 
 WINDOW = 10
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 18
 BLOCK_BYTES = 16 << 20
 #: Candidate positions and windows that are looked at together.
-STRETCH, GROUP = 1 << 21, 1 << 16
+STRETCH, GROUP = 1 << 18, 1 << 14
 #: Bytes to bytes: letters lower-cased, what separates words to a space; bytes of other characters stay.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 

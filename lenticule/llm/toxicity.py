@@ -48,7 +48,7 @@ class ToxicityConfig:
 class _WordWeights(dict):
     """Word to weight, by way of its features; memoised up to a bound."""
 
-    def __init__(self, weights: dict[str, float], prefixes: tuple[int, ...], most: int = 300_000):
+    def __init__(self, weights: dict[str, float], prefixes: tuple[int, ...], most: int = 100_000):
         super().__init__()
         self.weights, self.prefixes, self.most = weights, prefixes, most
 
@@ -107,8 +107,9 @@ def _logit_of(harmless: np.ndarray | float) -> np.ndarray | float:
 def train(texts: list[bytes], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     if len(set(labels.tolist())) < 2:
         return ToxicityModel()
-    split = [[m[0].translate(_TABLE).split() for m in _SENTENCE.finditer(t)] for t in texts]
-    known = {w: features_of(w, c.prefixes) for w in {w for d in split for s in d for w in s}}
+    once: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
+    split = [[[once.setdefault(w, w) for w in m[0].translate(_TABLE).split()] for m in _SENTENCE.finditer(t)] for t in texts]
+    known = {w: features_of(w, c.prefixes) for w in once}
     often, toxic = Counter(), Counter()
     for d, y in zip(split, labels, strict=True):
         found = {f for w in {w for s in d for w in s} for f in known[w]}
