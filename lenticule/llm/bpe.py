@@ -94,7 +94,7 @@ class _Words(_Memo):
 class _Fits(dict):
     """Pair of tokens, as one integer, to whether they are compatible; bounded like the memo."""
 
-    def __init__(self, bpe: PrefixBpe, most: int = 600_000):
+    def __init__(self, bpe: PrefixBpe, most: int = 150_000):
         super().__init__()
         self.bpe, self.most = bpe, most
 

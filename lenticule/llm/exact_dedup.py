@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialise, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# allowFAllocate off: with it, every state partition sets aside some megabytes of disk for its logs
+# allowFAllocate off: with it, every state partition sets aside some megabytes of disk for its logs; small write buffers, for a
+# partition's first block of memory is an eighth of one
 STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
