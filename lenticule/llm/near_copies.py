@@ -31,7 +31,6 @@ WORDS = 5
 SHARE = (4, 5)
 SLOTS = 1 << 20
 HEAVY = 4096
-ROUNDS = 1
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -152,30 +151,27 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     tries = near.join(ends[0], "a").join(ends[1], "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     pairs = prints.join(least, "fp").select(F.col("least").alias("a"), F.col(key).alias("b")).union(tries).filter("a <> b")
 
-    links = None
-    for turn in range(ROUNDS + 2):
-        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near_pairs")
-        found = _similar(df, pairs, sketches, key, text, words, share)
-        links = materialise(found if links is None else links.union(found), "near_links")
-        label = components(links)
-        if turn > ROUNDS:
-            return label
-        label = materialise(label, "near_labels")
-        now = heads.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        if turn < ROUNDS:  # each shingle's texts to one of them, two links for each text: what these connect has no pairs later
-            hub = now.groupBy("h").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "h", F.lit(turn))).alias("hub"))
-            met = now.join(hub, "h").filter(f"label <> hub.label and {high} * least(n, hub.n) >= {low} * greatest(n, hub.n)")
-            met = met.groupBy("node").agg(F.array(F.min("hub.node"), F.max("hub.node")).alias("hubs"))
-            pairs = met.select(F.col("node").alias("a"), F.explode("hubs").alias("b"))
-        else:  # groups of a shingle meet, and members of different groups only
-            several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-            now = materialise(now.join(several, "h"), "near_open")
-            groups = now.select("h", "label").distinct()
-            meet = groups.toDF("h", "l").join(groups.toDF("h", "r"), "h").filter("l < r")
-            met = meet.join(now.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.toDF("h", "b", "m", "q", "r"), ["h", "r"])
-            met = met.filter(f"{high} * least(n, m) >= {low} * greatest(n, m)")
-            met = met.groupBy("a", "b", "n", "m").agg(F.min("p").alias("p"), F.min("q").alias("q"))
-            pairs = met.filter(f"{low + high} * least(n - p, m - q) >= {low} * (n + m)").select("a", "b")  # what is left from the first shared one on
+    def accepted(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "near_pairs")
+        return _similar(df, pairs, sketches, key, text, words, share)
+
+    # each shingle's texts to one of them, two links for each text: what these and the tries connect has no pairs later
+    hub = heads.groupBy("h").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "h")).alias("hub"))
+    met = heads.join(hub, "h").filter(f"{high} * least(n, hub.n) >= {low} * greatest(n, hub.n)")
+    met = met.groupBy("node").agg(F.array(F.min("hub.node"), F.max("hub.node")).alias("hubs"))
+    first = materialise(accepted(pairs.union(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))), "near_links")
+    label = components(first)
+    # groups of a shingle meet, and members of different groups only
+    now = heads.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    now = materialise(now.join(several, "h"), "near_open")
+    groups = now.select("h", "label").distinct()
+    meet = groups.toDF("h", "l").join(groups.toDF("h", "r"), "h").filter("l < r")
+    met = meet.join(now.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.toDF("h", "b", "m", "q", "r"), ["h", "r"])
+    met = met.filter(f"{high} * least(n, m) >= {low} * greatest(n, m)")
+    met = met.groupBy("a", "b", "n", "m").agg(F.min("p").alias("p"), F.min("q").alias("q"))
+    left = met.filter(f"{low + high} * least(n - p, m - q) >= {low} * (n + m)").select("a", "b")  # what is left from the first shared one on
+    return components(materialise(first.union(accepted(left)), "near_links"))
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
