@@ -30,7 +30,8 @@ from .common import fresh_path, materialise, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # allowFAllocate off: with it, every state partition sets aside some megabytes of disk for its logs; small write buffers, for a
-# partition's first block of memory is an eighth of one
+# partition's first block of memory is an eighth of one; a partition's store is closed when its task ends, so an executor holds as many
+# as it has cores and not its share of all, and none once the run is over
 STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -38,6 +39,7 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
