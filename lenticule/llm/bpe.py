@@ -24,7 +24,6 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import held, map_rows
 
 # Unicode White_Space, spelled out because libraries differ on the control characters 1C to 1F.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,7 +109,7 @@ class _Fits(dict):
 class PrefixBpe:
     """Exact byte-level BPE for a vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, memo_entries: int = 80_000, memo_chars: int = 48):
+    def __init__(self, path: str, memo_entries: int = 40_000, memo_chars: int = 48):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = {c: b for b, c in enumerate(byte_alphabet())}
@@ -239,10 +238,9 @@ class PrefixBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> PrefixBpe:
-    """One codec per worker process and vocabulary file."""
-    return PrefixBpe(path)
+def codec(vocabulary: str) -> PrefixBpe:
+    """One codec per worker process and vocabulary, until a task comes that does not hold it."""
+    return held(vocabulary, lambda: PrefixBpe(resolve(vocabulary)))
 
 
 def resolve(vocabulary: str) -> str:
@@ -265,7 +263,7 @@ def encode_documents(df: DataFrame, text: str = "text", vocabulary: str = "byte_
     schema = ", ".join([*_passed(df.schema, added), f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(resolve(vocabulary))
+        bpe = codec(vocabulary)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             # few rows at a time: ids of long texts take four bytes each
@@ -280,7 +278,7 @@ def encode_documents(df: DataFrame, text: str = "text", vocabulary: str = "byte_
                     cols.append(pa.array([bpe.decode(x) for x in out], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *([ids, decoded] if decoded else [ids])])
 
-    return map_rows(df, run, schema)
+    return map_rows(df, run, schema, holds=vocabulary)
 
 
 def round_trip_digests(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -291,7 +289,7 @@ def round_trip_digests(df: DataFrame, key: str = "doc_id", text: str = "text", v
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(resolve(vocabulary))
+        bpe = codec(vocabulary)
         for batch in batches:
             counts, id_sums, text_sums = [], [], []
             for value in batch.column(1):
@@ -301,4 +299,4 @@ def round_trip_digests(df: DataFrame, key: str = "doc_id", text: str = "text", v
                 text_sums.append(hashlib.sha256(bpe.decode(rows).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_rows(df.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(df.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=vocabulary)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -95,10 +96,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+#: What a worker process keeps from task to task, by name.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What this worker process keeps under ``name``, made on first use."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go(but: str | None) -> None:
+    """Forget what the worker keeps under other names."""
+    others = [name for name in _HELD if name != but]
+    for name in others:
+        del _HELD[name]
+    if others:
+        gc.collect()  # what refers to itself
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, holds: str | None = None) -> DataFrame:
     """``mapInArrow`` with the package's sources at hand on the executors, in batches of bounded size.
 
-    Workers are used again, so each task gives the memory that it has freed back to the system.
+    Workers are used again, so each task gives the memory that it has freed back to the system, and forgets what earlier tasks keep
+    unless it is what this one ``holds``.
     """
     spark = df.sparkSession
     ship(spark)
@@ -107,6 +129,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         spark.conf.set(bound, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)
         try:
             yield from fn(batches)
         finally:

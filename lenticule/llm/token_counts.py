@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import codec, resolve
+from .bpe import codec
 from .common import map_rows
 
 SECTIONS = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n(?:[ \t\r]*\n)+")}
@@ -65,7 +65,7 @@ def count_by_section(df: DataFrame, key: str = "doc_id", text: str = "text", by:
     whole = rule != "share"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(resolve(vocabulary))
+        bpe = codec(vocabulary)
 
         def pack(owner: list[int], parts: list[tuple], keys: pa.Array) -> pa.RecordBatch:
             number, begin, end, count = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -100,4 +100,4 @@ def count_by_section(df: DataFrame, key: str = "doc_id", text: str = "text", by:
             if parts:
                 yield pack(owner, parts, batch.column(0))
 
-    return map_rows(df.select(key, text), run, f"`{key}` {kind}, section int, start int, end int, n_tokens {'long' if whole else 'double'}")
+    return map_rows(df.select(key, text), run, f"`{key}` {kind}, section int, start int, end int, n_tokens {'long' if whole else 'double'}", holds=vocabulary)
