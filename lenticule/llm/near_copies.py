@@ -2,9 +2,10 @@
 
 SimHash fingerprints of the shingles and the joined tries propose the first links; they settle the large groups cheaply, but no
 budget of bits covers a similarity. So a prefix join completes them: with the shingles of every text in one common order, two texts
-as similar as that share one of the first ``n - ceil(0.8 n) + 1`` shingles of each. All pairs that do, and that no accepted link
-connects yet, are candidates. Every proposed link, wherever it comes from, is accepted only by the Jaccard similarity of the whole
-sets of shingles, in integers; shingles are compared by 64-bit hashes.
+as similar as that share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, and of the shorter one even one of the first
+``n - ceil(8/9 n) + 1``. All pairs that do, with enough shingles left from there on, and that no accepted link connects yet, are
+candidates. Every proposed link, wherever it comes from, is accepted only by the Jaccard similarity of the whole sets of shingles, in
+integers; shingles are compared by 64-bit hashes.
 
 The order puts shingles that many texts share last, by counts in a table of fixed size. The table decides the order alone: any order
 gives the same groups, and a poor one only more candidates.
@@ -161,16 +162,20 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     met = met.groupBy("node").agg(F.array(F.min("hub.node"), F.max("hub.node")).alias("hubs"))
     first = materialise(accepted(pairs.union(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))), "near_links")
     label = components(first)
-    # groups of a shingle meet, and members of different groups only
+    # groups of a shingle meet, and members of different groups only; of two texts, the shorter one has the first shared shingle even earlier
     now = heads.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    now = materialise(now.join(several, "h"), "near_open")
-    groups = now.select("h", "label").distinct()
-    meet = groups.toDF("h", "l").join(groups.toDF("h", "r"), "h").filter("l < r")
-    met = meet.join(now.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.toDF("h", "b", "m", "q", "r"), ["h", "r"])
-    met = met.filter(f"{high} * least(n, m) >= {low} * greatest(n, m)")
-    met = met.groupBy("a", "b", "n", "m").agg(F.min("p").alias("p"), F.min("q").alias("q"))
-    left = met.filter(f"{low + high} * least(n - p, m - q) >= {low} * (n + m)").select("a", "b")  # what is left from the first shared one on
+    now = now.withColumn("early", F.expr(f"pos <= n - ({2 * low} * n + {low + high - 1}) div {low + high}"))
+    several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("any")).filter("lo <> hi and any").select("h")
+    now = materialise(now.join(several, "h").select("h", "node", "n", "pos", "label", "early"), "near_open")
+    early = now.filter("early").drop("early")
+    reach = [F.min("n"), F.max("n"), F.max(F.col("n") - F.col("pos"))]  # of a group: sizes, and most that can be shared from here on
+    short = early.groupBy("h", "label").agg(*reach).toDF("h", "l", "n0", "n1", "s")
+    long = now.groupBy("h", "label").agg(*reach).toDF("h", "r", "m0", "m1", "t")
+    meet = short.join(long, "h").filter(f"l <> r and n0 <= m1 and {high} * n1 >= {low} * m0 and {low + high} * least(s, t) >= {low} * (n0 + m0)").select("h", "l", "r")
+    met = meet.join(early.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.drop("early").toDF("h", "b", "m", "q", "r"), ["h", "r"])
+    # at the first shared one what is left suffices, so a pair that is due passes there
+    met = met.filter(f"n <= m and {high} * n >= {low} * m and {low + high} * least(n - p, m - q) >= {low} * (n + m)")
+    left = met.select("a", "b").distinct()
     return components(materialise(first.union(accepted(left)), "near_links"))
 
 
