@@ -171,8 +171,10 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     reach = [F.min("n"), F.max("n"), F.max(F.col("n") - F.col("pos"))]  # of a group: sizes, and most that can be shared from here on
     short = early.groupBy("h", "label").agg(*reach).toDF("h", "l", "n0", "n1", "s")
     long = now.groupBy("h", "label").agg(*reach).toDF("h", "r", "m0", "m1", "t")
-    meet = short.join(long, "h").filter(f"l <> r and n0 <= m1 and {high} * n1 >= {low} * m0 and {low + high} * least(s, t) >= {low} * (n0 + m0)").select("h", "l", "r")
-    met = meet.join(early.toDF("h", "a", "n", "p", "l"), ["h", "l"]).join(now.drop("early").toDF("h", "b", "m", "q", "r"), ["h", "r"])
+    meet = short.join(long, "h").filter(f"l <> r and n0 <= m1 and {high} * n1 >= {low} * m0 and {low + high} * least(s, t) >= {low} * (n0 + m0)").select("h", "l", "r", "m0", "m1", "t")
+    # a member goes on to the groups only that its own size and place allow
+    met = meet.join(early.toDF("h", "a", "n", "p", "l"), ["h", "l"]).filter(f"n <= m1 and {high} * n >= {low} * m0 and {low + high} * least(n - p, t) >= {low} * (n + m0)")
+    met = met.drop("m0", "m1", "t").join(now.drop("early").toDF("h", "b", "m", "q", "r"), ["h", "r"])
     # at the first shared one what is left suffices, so a pair that is due passes there
     met = met.filter(f"n <= m and {high} * n >= {low} * m and {low + high} * least(n - p, m - q) >= {low} * (n + m)")
     left = met.select("a", "b").distinct()
