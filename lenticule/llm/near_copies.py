@@ -4,7 +4,8 @@ SimHash fingerprints of the shingles and the joined tries propose the first link
 budget of bits covers a similarity. So a prefix join completes them: with the shingles of every text in one common order, two texts
 as similar as that share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, and of the shorter one even one of the first
 ``n - ceil(8/9 n) + 1``. All pairs that do, with enough shingles left from there on, and that no accepted link connects yet, are
-candidates. Every proposed link, wherever it comes from, is accepted only by the Jaccard similarity of the whole sets of shingles, in
+candidates. Of these, pairs are left out whose marks differ in more bits than so similar sets can differ in shingles; the marks of a group
+bound those of its members, so that groups far apart never meet. Every proposed link, wherever it comes from, is accepted only by the Jaccard similarity of the whole sets of shingles, in
 integers; shingles are compared by 64-bit hashes.
 
 The order puts shingles that many texts share last, by counts in a table of fixed size. The table decides the order alone: any order
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -32,6 +33,8 @@ WORDS = 5
 SHARE = (4, 5)
 SLOTS = 1 << 20
 HEAVY = 4096
+#: Words of 64 bits of the mark that goes with each row of the prefix join.
+FOLDS = 8
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -64,9 +67,9 @@ def _heavy(df: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray
     return sums["slot"].to_numpy(dtype=np.int64), sums["c"].to_numpy(dtype=np.int64)
 
 
-def mark(own: np.ndarray) -> bytes:
-    """For each of a power of two of bits, at least as many as there are shingles, whether an odd number of them falls on it."""
-    bits = max(64, 1 << max(len(own) - 1, 0).bit_length())
+def mark(own: np.ndarray, bits: int | None = None) -> bytes:
+    """For each of a power of two of bits, by default at least as many as there are shingles, whether an odd number of them falls on it."""
+    bits = bits or max(64, 1 << max(len(own) - 1, 0).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -80,14 +83,14 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def _sketches(df: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
-    """(node, n, mark, head): the number of shingles, their mark, and those at the head of the common order."""
+    """(node, n, mark, fold, head): the number of shingles, their mark, one of ``FOLDS`` words, and those at the head of the common order."""
     held = df.sparkSession.sparkContext.broadcast(_heavy(df, text, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, counts = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                head, marks, total = [], [], []
+                head, marks, folds, total = [], [], [], []
                 for t in batch.column(1)[at : at + 256]:
                     own = shingles(t.as_py(), words)
                     slot = (own % np.uint64(SLOTS)).astype(np.int64)
@@ -96,13 +99,17 @@ def _sketches(df: DataFrame, key: str, text: str, words: int, share: tuple[int,
                     size = len(own) - -(-share[0] * len(own) // share[1]) + 1
                     head.append(own[np.lexsort((own, common))[:size]])
                     marks.append(mark(own))
+                    folds.append(np.frombuffer(mark(own, 64 * FOLDS), np.int64))
                     total.append(len(own))
                 ends = np.cumsum([0, *map(len, head)]).astype(np.int32)
                 heads = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(head).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], pa.array(total, pa.int32()), pa.array(marks, pa.binary()), heads], names=["node", "n", "mark", "head"])
+                fold = pa.ListArray.from_arrays(pa.array(np.arange(len(folds) + 1, dtype=np.int32) * FOLDS), pa.array(np.concatenate(folds)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + 256], pa.array(total, pa.int32()), pa.array(marks, pa.binary()), fold, heads], names=["node", "n", "mark", "fold", "head"]
+                )
 
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(df.select(key, text), run, f"node {kind}, n int, mark binary, head array<long>")
+    return map_rows(df.select(key, text), run, f"node {kind}, n int, mark binary, fold array<long>, head array<long>")
 
 
 def _similar(df: DataFrame, pairs: DataFrame, sketches: DataFrame, key: str, text: str, words: int, share: tuple[int, int]) -> DataFrame:
@@ -137,6 +144,27 @@ def _similar(df: DataFrame, pairs: DataFrame, sketches: DataFrame, key: str, tex
     return map_rows(both, judge, f"a {kind}, b {kind}").distinct()
 
 
+def _folds(name: str) -> list[str]:
+    return [f"{name}{i}" for i in range(FOLDS)]
+
+
+def _apart(x: tuple[str, str], y: tuple[str, str]) -> str:
+    """SQL of the bits that differ at least between two groups of texts, each given by the bits that all and that any of its marks hold.
+
+    One text is a group with the same bits twice; between two texts it is the number of differing bits, hence a lower bound of the
+    shingles that are in one of them alone.
+    """
+    (all_x, any_x), (all_y, any_y) = x, y
+    return "(" + " + ".join(f"bit_count(({all_x}{i} & ~{any_y}{i}) | ({all_y}{i} & ~{any_x}{i}))" for i in range(FOLDS)) + ")"
+
+
+def _opened(heads: DataFrame, label: DataFrame, early: str) -> DataFrame:
+    """The rows of shingles that texts of different groups share, with the texts' groups."""
+    now = heads.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component").withColumn("early", F.expr(early))
+    several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("any")).filter("lo <> hi and any").select("h")
+    return now.join(several, "h")
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """(node, component) for every key that has a near copy; the component is the smallest key that it reaches."""
     df = df.select(key, text).filter(F.col(key).isNotNull())
@@ -161,22 +189,35 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     met = heads.join(hub, "h").filter(f"{high} * least(n, hub.n) >= {low} * greatest(n, hub.n)")
     met = met.groupBy("node").agg(F.array(F.min("hub.node"), F.max("hub.node")).alias("hubs"))
     first = materialise(accepted(pairs.union(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))), "near_links")
-    label = components(first)
     # groups of a shingle meet, and members of different groups only; of two texts, the shorter one has the first shared shingle even earlier
-    now = heads.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    now = now.withColumn("early", F.expr(f"pos <= n - ({2 * low} * n + {low + high - 1}) div {low + high}"))
-    several = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("early").alias("any")).filter("lo <> hi and any").select("h")
-    now = materialise(now.join(several, "h").select("h", "node", "n", "pos", "label", "early"), "near_open")
+    early = f"pos <= n - ({2 * low} * n + {low + high - 1}) div {low + high}"
+    folds = sketches.select("node", *(F.col("fold")[i].alias(g) for i, g in enumerate(_folds("g"))))
+    now = materialise(_opened(heads, components(first), early).join(folds, "node").select("h", "node", "n", "pos", "label", "early", *_folds("g")), "near_open")
+    # once more each shingle's texts to one of them, by other choice, where the groups differ and the marks allow it
+    few = lambda apart, sizes: f"{high + low} * {apart} <= {high - low} * ({sizes})"
+    hub = now.groupBy("h").agg(F.min_by(F.struct("node", "n", "label", *_folds("g")), F.xxhash64("h", "node")).alias("hub"))
+    hub = hub.select("h", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"), F.col("hub.label").alias("r"), *(F.col(f"hub.g{i}").alias(y) for i, y in enumerate(_folds("y"))))
+    met = now.join(hub, "h").filter(f"label <> r and {high} * least(n, m) >= {low} * greatest(n, m)").filter(few(_apart(("g", "g"), ("y", "y")), "n + m"))
+    met = met.groupBy("node").agg(F.array(F.min("b"), F.max("b")).alias("hubs"))
+    first = materialise(first.union(accepted(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))), "near_links")
+    now = materialise(_opened(now.drop("label", "early"), components(first), early).select("h", "node", "n", "pos", "label", "early", *_folds("g")), "near_open")
     early = now.filter("early").drop("early")
-    reach = [F.min("n"), F.max("n"), F.max(F.col("n") - F.col("pos"))]  # of a group: sizes, and most that can be shared from here on
-    short = early.groupBy("h", "label").agg(*reach).toDF("h", "l", "n0", "n1", "s")
-    long = now.groupBy("h", "label").agg(*reach).toDF("h", "r", "m0", "m1", "t")
-    meet = short.join(long, "h").filter(f"l <> r and n0 <= m1 and {high} * n1 >= {low} * m0 and {low + high} * least(s, t) >= {low} * (n0 + m0)").select("h", "l", "r", "m0", "m1", "t")
-    # a member goes on to the groups only that its own size and place allow
-    met = meet.join(early.toDF("h", "a", "n", "p", "l"), ["h", "l"]).filter(f"n <= m1 and {high} * n >= {low} * m0 and {low + high} * least(n - p, t) >= {low} * (n + m0)")
-    met = met.drop("m0", "m1", "t").join(now.drop("early").toDF("h", "b", "m", "q", "r"), ["h", "r"])
+
+    def reach(*bits: str) -> list[Column]:
+        """Of a group: sizes, most that can be shared from here on, and the bits that all and that any of its marks hold."""
+        both = [f(g).alias(f"{b}{i}") for f, b in zip((F.bit_and, F.bit_or), bits, strict=True) for i, g in enumerate(_folds("g"))]
+        return [F.min("n"), F.max("n"), F.max(F.col("n") - F.col("pos")), *both]
+
+    short = early.groupBy("h", "label").agg(*reach("c", "d")).toDF("h", "l", "n0", "n1", "s", *_folds("c"), *_folds("d"))
+    long = now.groupBy("h", "label").agg(*reach("e", "f")).toDF("h", "r", "m0", "m1", "t", *_folds("e"), *_folds("f"))
+    meet = short.join(long, "h").filter(f"l <> r and n0 <= m1 and {high} * n1 >= {low} * m0 and {low + high} * least(s, t) >= {low} * (n0 + m0)")
+    meet = meet.filter(few(_apart(("c", "d"), ("e", "f")), "n1 + m1")).select("h", "l", "r", "m0", "m1", "t", *_folds("e"), *_folds("f"))
+    # a member goes on to the groups only that its own size, place and mark allow
+    met = meet.join(early.toDF("h", "a", "n", "p", "l", *_folds("x")), ["h", "l"]).filter(f"n <= m1 and {high} * n >= {low} * m0 and {low + high} * least(n - p, t) >= {low} * (n + m0)")
+    met = met.filter(few(_apart(("x", "x"), ("e", "f")), "n + m1")).select("h", "r", "a", "n", "p", *_folds("x"))
+    met = met.join(now.drop("early").toDF("h", "b", "m", "q", "r", *_folds("y")), ["h", "r"])
     # at the first shared one what is left suffices, so a pair that is due passes there
-    met = met.filter(f"n <= m and {high} * n >= {low} * m and {low + high} * least(n - p, m - q) >= {low} * (n + m)")
+    met = met.filter(f"n <= m and {high} * n >= {low} * m and {low + high} * least(n - p, m - q) >= {low} * (n + m)").filter(few(_apart(("x", "x"), ("y", "y")), "n + m"))
     left = met.select("a", "b").distinct()
     return components(materialise(first.union(accepted(left)), "near_links"))
 
