@@ -141,18 +141,31 @@ def duration_runs(steps: DataFrame, key: str, step: str = "step", duration: str
     return runs.select(key, (F.row_number().over(order) - 1).alias("run"), F.col("length").alias("count"), F.col("flag").alias("duration"))
 
 
-def csv_lines(hist: DataFrame, key: str) -> DataFrame:
-    """One text line for each bin: bounds and center with four decimals, count, fraction, percentage, cluster or nothing, 1 if selected."""
-    f = lambda fmt, c: F.format_string(fmt, c)
-    line = F.concat_ws(
-        ",",
-        f("%.4f", F.col("bin_start")),
-        f("%.4f", F.col("bin_end")),
-        f("%.4f", F.col("bin_center")),
-        F.col("n").cast("string"),
-        f("%.4f", F.col("fraction")),
-        f("%.2f", F.col("percentage")),
-        F.coalesce(F.col("cluster").cast("string"), F.lit("")),
-        F.col("selected").cast("int").cast("string"),
-    )
-    return hist.select(key, "bin", line.alias("line"))
+#: Fixed value: the names of a report's columns.
+CSV_COLUMNS = "bin_idx,bin_start_px,bin_end_px,bin_center_px,count,fraction,percentage,cluster_id,is_selected_surface"
+
+
+def csv_report(hist: DataFrame, shifts: DataFrame, key: str, size: float, tolerance: float) -> DataFrame:
+    """Rows (key, line_number, line): two lines about the whole, the columns' names, then a line for each bin.
+
+    Decimals are rounded half up as they are written in full. A key without shifts has shifts of zero; one without bins has no lines.
+    """
+    f = lambda fmt, *c: F.format_string(fmt, *(F.col(x) if isinstance(x, str) else x for x in c))
+    own = Window.partitionBy(key)
+    rows = hist.withColumns(
+        {
+            "__at": F.col("bin") - F.min("bin").over(own),
+            "__all": F.sum("n").over(own),
+            "__chosen": F.max(F.when(F.col("selected"), F.col("cluster"))).over(own),
+            "__points": F.coalesce(F.sum(F.when(F.col("selected"), F.col("n"))).over(own), F.lit(0)),
+        }
+    ).join(shifts.select(key, "dx0", "dy0", "dx2", "dy2"), key, "left")
+    chosen = F.when(F.col("__chosen").isNull(), F.lit("None")).otherwise(f("Some(%d)", "__chosen"))
+    about = f(f"# metric=inv_disparity,bin_size={size:.4f},cluster_tolerance={tolerance:.4f},total_samples=%d,selected_cluster=%s,selected_points=%d", "__all", chosen, "__points")
+    moved = f("# shift_0=(%.3f,%.3f),shift_1=(0.000,0.000),shift_2=(%.3f,%.3f)", *(F.coalesce(F.col(c), F.lit(0.0)) for c in ("dx0", "dy0", "dx2", "dy2")))
+    cluster = F.coalesce(F.col("cluster").cast("string"), F.lit(""))
+    line = f("%d,%.4f,%.4f,%.4f,%d,%.4f,%.2f,%s,%d", "bin", "bin_start", "bin_end", "bin_center", "n", "fraction", "percentage", cluster, F.col("selected").cast("int"))
+    first = F.col("__at") == 0
+    lines = F.when(first, F.array(about, moved, F.lit(CSV_COLUMNS), line)).otherwise(F.array(line))
+    out = rows.select(key, "__at", F.posexplode(lines).alias("__pos", "line"))
+    return out.select(key, (F.col("__at") + F.col("__pos") + F.when(first, 0).otherwise(3)).cast("long").alias("line_number"), "line")

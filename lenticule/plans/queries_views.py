@@ -109,6 +109,21 @@ def surface_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("image_id", "n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
 
 
+@query(
+    f"""{_SURFACE}, r AS (SELECT image_id, unnest(range(min(bin), max(bin) + 1)) AS bin, sum(n) AS total, min(bin) AS first FROM bins GROUP BY image_id),
+h AS (SELECT r.*, coalesce(n, 0) AS n, cluster, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl ON cl.image_id = r.image_id AND cl.bin = r.bin LEFT JOIN ch ON ch.image_id = r.image_id),
+g AS (SELECT image_id, sum(n) AS total, max(cluster) FILTER (selected) AS chosen, coalesce(sum(n) FILTER (selected), 0) AS points FROM h GROUP BY image_id),
+v AS (SELECT disp.image_id, avg(dx0) AS dx0, avg(dy0) AS dy0, avg(dx2) AS dx2, avg(dy2) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0 GROUP BY disp.image_id)
+SELECT image_id, 0::BIGINT AS line_number, '# metric=inv_disparity,bin_size={BIN:.4f},cluster_tolerance={TOLERANCE:.4f},total_samples=' || CAST(total AS BIGINT) || ',selected_cluster=' || coalesce('Some(' || chosen || ')', 'None') || ',selected_points=' || CAST(points AS BIGINT) AS line FROM g
+UNION ALL SELECT image_id, 1, printf('# shift_0=(%.3f,%.3f),shift_1=(0.000,0.000),shift_2=(%.3f,%.3f)', coalesce(dx0, 0), coalesce(dy0, 0), coalesce(dx2, 0), coalesce(dy2, 0)) FROM g LEFT JOIN v USING (image_id)
+UNION ALL SELECT image_id, 2, '{surface.CSV_COLUMNS}' FROM g
+UNION ALL SELECT image_id, 3 + bin - first, printf('%d,%.4f,%.4f,%.4f,%d,%.4f,%.2f,%s,%d', bin, bin * {BIN}::DOUBLE, (bin + 1) * {BIN}::DOUBLE, (bin + 0.5) * {BIN}::DOUBLE, n, n / total, n / total * 100, coalesce(CAST(cluster AS VARCHAR), ''), CAST(selected AS INT)) FROM h"""
+)
+def disparity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = surface.histogram(surface.bin_counts(_points(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
+    return surface.csv_report(h, surface.surface_shifts(_points(spark, sf_dir), BIN, TOLERANCE), "image_id", BIN, TOLERANCE)
+
+
 @query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp WHERE x1 BETWEEN 400 AND 600 AND y1 BETWEEN 200 AND 350 GROUP BY disp.image_id")
 def face_priority_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = d.points(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(400.0).alias("x"), F.lit(200.0).alias("y"), F.lit(200.0).alias("width"), F.lit(150.0).alias("height"))
