@@ -165,11 +165,14 @@ def face_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.boxes(spark, sf_dir).select("box_id", r6(faces.salience(*(F.col(c) for c in ("x", "y", "width", "height", "score")))).alias("salience"))
 
 
-@query(f"SELECT box_id, round(CASE WHEN box_id % 2 = 0 THEN score ELSE exp(score) / (exp(score) + exp(x * 3)) END, 6) AS s FROM ({d.BOXES})")
+@query(
+    f"""SELECT box_id, round(CASE WHEN abs(c0 + score - 1) <= 1e-3 AND c0 >= 0 AND score >= 0 THEN score ELSE exp(score) / (exp(score) + exp(c0)) END, 6) AS s
+FROM (SELECT box_id, score, CASE WHEN box_id % 2 = 0 THEN 1 - score ELSE x * 3 - 0.5 END AS c0 FROM ({d.BOXES}))"""
+)
 def face_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c0 = F.when(F.col("box_id") % 2 == 0, 1.0 - F.col("score")).otherwise(F.col("x") * 3)
-    # odd boxes hold raw outputs, kept away from adding up to one
-    return d.boxes(spark, sf_dir).select("box_id", r6(F.when(F.col("box_id") % 2 == 0, faces.face_score(c0, F.col("score"))).otherwise(1.0 / (1.0 + F.exp(c0 - F.col("score"))))).alias("s"))
+    """Even boxes hold probabilities, odd ones raw outputs, some of them below zero."""
+    c0 = F.when(F.col("box_id") % 2 == 0, 1.0 - F.col("score")).otherwise(F.col("x") * 3 - 0.5)
+    return d.boxes(spark, sf_dir).select("box_id", r6(faces.face_score(c0, F.col("score"))).alias("s"))
 
 
 @query(
