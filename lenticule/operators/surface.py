@@ -98,6 +98,28 @@ def surface_shifts(points: DataFrame, size: float, tolerance: float, key: str =
     return chosen.groupBy(key).agg(F.sum("n").alias("n"), *((F.sum(c) / F.sum("n")).alias(c) for c in axes))
 
 
+#: Fixed value: displacements up to this many pixels say nothing about depth.
+LEAST_DISPLACEMENT = 0.5
+
+
+def pair_shifts(matches: DataFrame, keypoints: DataFrame, size: float, tolerance: float) -> DataFrame:
+    """(image_id, frame_a, frame_b, n, dx, dy): mean displacement from a to b of a pair's matches in the selected cluster of its own
+    histogram. A pair none of whose matches moves more than ``LEAST_DISPLACEMENT`` has n, dx and dy of zero.
+    """
+    end = lambda s: keypoints.select("image_id", F.col("frame_index").alias(f"frame_{s}"), F.col("kp_index").alias(f"index_{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    both = matches.join(end("a"), ["image_id", "frame_a", "index_a"]).join(end("b"), ["image_id", "frame_b", "index_b"])
+    moved = both.select(F.struct("image_id", "frame_a", "frame_b").alias("pair"), (F.col("xb") - F.col("xa")).alias("dx"), (F.col("yb") - F.col("ya")).alias("dy"))
+    d = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    # matches that hardly move have no bin, yet their pair is kept
+    bin_ = F.when(d > LEAST_DISPLACEMENT, F.floor(1.0 / d / F.lit(size)))
+    sums = moved.groupBy("pair", bin_.alias("bin")).agg(F.count("*").alias("n"), F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    still = sums.filter("bin is null").select("pair", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    chosen = select_bins(sums.filter("bin is not null"), "pair", size, tolerance).filter("selected").select("pair", "n", "dx", "dy")
+    total = chosen.unionByName(still).groupBy("pair").agg(F.sum("n").alias("n"), F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    mean = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
+    return total.select("pair.*", "n", mean("dx").alias("dx"), mean("dy").alias("dy"))
+
+
 def face_priority_shifts(points: DataFrame, boxes: DataFrame, size: float, tolerance: float, key: str = "image_id") -> DataFrame:
     """As ``surface_shifts``, but over the points inside the key's box (key, x, y, width, height), where it holds any."""
     inside = points.join(boxes.select(key, F.struct("x", "y", "width", "height").alias("box")), key)

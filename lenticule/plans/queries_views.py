@@ -24,13 +24,14 @@ gate AS (SELECT *, 1 + 1.5 * least((pow(x0 - 500, 2) + pow(y0 - 300, 2)) / (2500
 kept AS MATERIALIZED (SELECT *, abs(x0 - x1) AS disparity_01, abs(x1 - x2) AS disparity_12, abs((x0 - x2) - ((x0 - x1) + (x1 - x2))) AS cascade FROM gate WHERE greatest(abs(y0 - y1), abs(y1 - y2), abs(y0 - y2)) <= 25 * slack AND NOT (abs(x0 - x1) > 4 AND abs(x1 - x2) > 4 AND (x0 - x1) * (x1 - x2) < 0)
  AND NOT (abs(x0 - x2) > 4 AND abs(x0 - x1) > 4 AND (x0 - x2) * (x0 - x1) < 0))"""
 _BASE = f"WITH {_K}, {_MATCH}, {_TRIPLE}"
-_SURFACE = f"""{_BASE}, disp AS (SELECT image_id, (disparity_01 + disparity_12) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept),
-bins AS (SELECT image_id, CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0 GROUP BY ALL),
+_DISP = "disp AS (SELECT image_id, (disparity_01 + disparity_12) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept)"
+_CHOSEN = f"""bins AS (SELECT image_id, CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0 GROUP BY ALL),
 cl AS (SELECT image_id, bin, n, sum(new) OVER (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY image_id ORDER BY bin) > greatest(ceil({TOLERANCE / BIN}), 1) THEN 1 ELSE 0 END AS new FROM bins)),
 st AS (SELECT image_id, min(bin) AS s FROM (SELECT *, sum(n) OVER (PARTITION BY image_id) AS total FROM bins) WHERE n >= greatest(ceil(total * 0.01), 1) GROUP BY ALL),
 up AS (SELECT image_id, bin, CASE WHEN bin > s AND (bin - lag(bin) OVER w <> 1 OR n < max(n) OVER (PARTITION BY image_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 1 ELSE 0 END AS brk FROM bins JOIN st USING (image_id) WHERE bin >= s WINDOW w AS (PARTITION BY image_id ORDER BY bin)),
 tg AS (SELECT image_id, max(bin) AS target FROM (SELECT image_id, bin, sum(brk) OVER (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS stop FROM up) WHERE stop = 0 GROUP BY ALL),
 ch AS (SELECT image_id, cluster AS chosen FROM cl JOIN tg USING (image_id) WHERE bin = target)"""
+_SURFACE = f"{_BASE}, {_DISP}, {_CHOSEN}"
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,17 @@ def disparity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.csv_report(h, surface.surface_shifts(_points(spark, sf_dir), BIN, TOLERANCE), "image_id", BIN, TOLERANCE)
 
 
+@query(
+    f"""WITH {_K}, {_MATCH}, moved AS (SELECT m.image_id || ':' || frame_a || ':' || frame_b AS image_id, q.x - p.x AS dx, q.y - p.y AS dy FROM mutual m JOIN k p ON p.image_id = m.image_id AND p.frame_index = m.frame_a AND p.kp_index = m.index_a JOIN k q ON q.image_id = m.image_id AND q.frame_index = m.frame_b AND q.kp_index = m.index_b),
+disp AS (SELECT image_id, sqrt(dx * dx + dy * dy) AS d, dx, dy FROM moved WHERE sqrt(dx * dx + dy * dy) > 0.5), {_CHOSEN},
+v AS (SELECT disp.image_id, count(*) AS n, avg(dx) AS dx, avg(dy) AS dy FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen GROUP BY disp.image_id)
+SELECT image_id AS pair, coalesce(n, 0) AS n, round(coalesce(dx, 0), 4) AS dx, round(coalesce(dy, 0), 4) AS dy FROM (SELECT DISTINCT image_id FROM moved) LEFT JOIN v USING (image_id)"""
+)
+def pair_surface_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = surface.pair_shifts(_matches(spark, sf_dir), d.points(spark, sf_dir), BIN, TOLERANCE)
+    return s.select(F.concat_ws(":", "image_id", "frame_a", "frame_b").alias("pair"), "n", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"))
+
+
 @query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp WHERE x1 BETWEEN 400 AND 600 AND y1 BETWEEN 200 AND 350 GROUP BY disp.image_id")
 def face_priority_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = d.points(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(400.0).alias("x"), F.lit(200.0).alias("y"), F.lit(200.0).alias("width"), F.lit(150.0).alias("height"))
