@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: displacements up to this many pixels say nothing about depth.
+LEAST_DISPLACEMENT = 0.5
+
+
 def bin_counts(points: DataFrame, key: str, d: str, size: float) -> DataFrame:
     """Counts of floor(1 / (d size)) over the displacements above 0."""
     return points.filter(F.col(d) > 0).groupBy(key, F.floor(1.0 / F.col(d) / F.lit(size)).alias("bin")).agg(F.count("*").alias("n"))
@@ -76,10 +80,9 @@ def histogram(bins: DataFrame, key: str, size: float, tolerance: float, share: f
 
 
 def displacements(triplets: DataFrame) -> DataFrame:
-    """From triplets with points: the mean disparity and how the outer frames lie against the middle one."""
-    return triplets.select(
+    """From triplets with points: how the outer frames lie against the middle one, and the mean length of both displacements."""
+    moved = triplets.select(
         "image_id",
-        ((F.abs(F.col("x0") - F.col("x1")) + F.abs(F.col("x1") - F.col("x2"))) / 2).alias("d"),
         (F.col("x1") - F.col("x0")).alias("dx0"),
         (F.col("y1") - F.col("y0")).alias("dy0"),
         (F.col("x1") - F.col("x2")).alias("dx2"),
@@ -87,21 +90,19 @@ def displacements(triplets: DataFrame) -> DataFrame:
         "x1",
         "y1",
     )
+    length = lambda k: F.sqrt(F.col(f"dx{k}") * F.col(f"dx{k}") + F.col(f"dy{k}") * F.col(f"dy{k}"))
+    return moved.withColumn("d", (length(0) + length(2)) / 2)
 
 
 def surface_shifts(points: DataFrame, size: float, tolerance: float, key: str = "image_id") -> DataFrame:
     """Mean displacement over the selected cluster: one row (key, n, dx0, dy0, dx2, dy2); the middle frame stays."""
     axes = ("dx0", "dy0", "dx2", "dy2")
     # sums by bin: the points are read once, and only bins are windowed
-    bins = points.filter("d > 0").groupBy(key, F.floor(1.0 / F.col("d") / F.lit(size)).alias("bin")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in axes))
+    bins = points.filter(F.col("d") > LEAST_DISPLACEMENT).groupBy(key, F.floor(1.0 / F.col("d") / F.lit(size)).alias("bin")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in axes))
     chosen = select_bins(bins, key, size, tolerance).filter("selected")
     return chosen.groupBy(key).agg(F.sum("n").alias("n"), *((F.sum(c) / F.sum("n")).alias(c) for c in axes))
 
 
-#: Fixed value: displacements up to this many pixels say nothing about depth.
-LEAST_DISPLACEMENT = 0.5
-
-
 def pair_shifts(matches: DataFrame, keypoints: DataFrame, size: float, tolerance: float) -> DataFrame:
     """(image_id, frame_a, frame_b, n, dx, dy): mean displacement from a to b of a pair's matches in the selected cluster of its own
     histogram. A pair none of whose matches moves more than ``LEAST_DISPLACEMENT`` has n, dx and dy of zero.

@@ -24,8 +24,8 @@ gate AS (SELECT *, 1 + 1.5 * least((pow(x0 - 500, 2) + pow(y0 - 300, 2)) / (2500
 kept AS MATERIALIZED (SELECT *, abs(x0 - x1) AS disparity_01, abs(x1 - x2) AS disparity_12, abs((x0 - x2) - ((x0 - x1) + (x1 - x2))) AS cascade FROM gate WHERE greatest(abs(y0 - y1), abs(y1 - y2), abs(y0 - y2)) <= 25 * slack AND NOT (abs(x0 - x1) > 4 AND abs(x1 - x2) > 4 AND (x0 - x1) * (x1 - x2) < 0)
  AND NOT (abs(x0 - x2) > 4 AND abs(x0 - x1) > 4 AND (x0 - x2) * (x0 - x1) < 0))"""
 _BASE = f"WITH {_K}, {_MATCH}, {_TRIPLE}"
-_DISP = "disp AS (SELECT image_id, (disparity_01 + disparity_12) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept)"
-_CHOSEN = f"""bins AS (SELECT image_id, CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0 GROUP BY ALL),
+_DISP = "disp AS (SELECT image_id, (sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) + sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))) / 2 AS d, x1 - x0 AS dx0, y1 - y0 AS dy0, x1 - x2 AS dx2, y1 - y2 AS dy2, x1, y1 FROM kept)"
+_CHOSEN = f"""bins AS (SELECT image_id, CAST(floor(1.0 / d / {BIN}::DOUBLE) AS BIGINT) AS bin, count(*) AS n FROM disp WHERE d > 0.5 GROUP BY ALL),
 cl AS (SELECT image_id, bin, n, sum(new) OVER (PARTITION BY image_id ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN bin - lag(bin) OVER (PARTITION BY image_id ORDER BY bin) > greatest(ceil({TOLERANCE / BIN}), 1) THEN 1 ELSE 0 END AS new FROM bins)),
 st AS (SELECT image_id, min(bin) AS s FROM (SELECT *, sum(n) OVER (PARTITION BY image_id) AS total FROM bins) WHERE n >= greatest(ceil(total * 0.01), 1) GROUP BY ALL),
 up AS (SELECT image_id, bin, CASE WHEN bin > s AND (bin - lag(bin) OVER w <> 1 OR n < max(n) OVER (PARTITION BY image_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) THEN 1 ELSE 0 END AS brk FROM bins JOIN st USING (image_id) WHERE bin >= s WINDOW w AS (PARTITION BY image_id ORDER BY bin)),
@@ -78,9 +78,13 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.displacements(_triplets(spark, sf_dir))
 
 
+def _far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir).filter(F.col("d") > surface.LEAST_DISPLACEMENT)
+
+
 @query(f"{_SURFACE}, r AS (SELECT image_id, unnest(range(min(bin), max(bin) + 1)) AS bin, sum(n) AS total FROM bins GROUP BY image_id) SELECT r.image_id, r.bin, round((r.bin + 0.5) * {BIN}::DOUBLE, 6) AS bin_center, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 6) AS fraction, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl ON cl.image_id = r.image_id AND cl.bin = r.bin LEFT JOIN ch ON ch.image_id = r.image_id")
 def disparity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = surface.histogram(surface.bin_counts(_points(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
+    h = surface.histogram(surface.bin_counts(_far(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
     return h.select("image_id", "bin", F.round("bin_center", 6).alias("bin_center"), "n", F.round("fraction", 6).alias("fraction"), "selected")
 
 
@@ -104,7 +108,7 @@ def foreground_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.foreground_bin(surface.bin_counts(points, "key", "d", 0.002), "key")
 
 
-@query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0 GROUP BY disp.image_id")
+@query(f"{_SURFACE} SELECT disp.image_id, count(*) AS n, round(avg(dx0), 4) AS dx0, round(avg(dy0), 4) AS dy0, round(avg(dx2), 4) AS dx2, round(avg(dy2), 4) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0.5 GROUP BY disp.image_id")
 def surface_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = surface.surface_shifts(_points(spark, sf_dir), BIN, TOLERANCE)
     return s.select("image_id", "n", *(F.round(c, 4).alias(c) for c in ("dx0", "dy0", "dx2", "dy2")))
@@ -114,14 +118,14 @@ def surface_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_SURFACE}, r AS (SELECT image_id, unnest(range(min(bin), max(bin) + 1)) AS bin, sum(n) AS total, min(bin) AS first FROM bins GROUP BY image_id),
 h AS (SELECT r.*, coalesce(n, 0) AS n, cluster, coalesce(cluster = chosen, FALSE) AS selected FROM r LEFT JOIN cl ON cl.image_id = r.image_id AND cl.bin = r.bin LEFT JOIN ch ON ch.image_id = r.image_id),
 g AS (SELECT image_id, sum(n) AS total, max(cluster) FILTER (selected) AS chosen, coalesce(sum(n) FILTER (selected), 0) AS points FROM h GROUP BY image_id),
-v AS (SELECT disp.image_id, avg(dx0) AS dx0, avg(dy0) AS dy0, avg(dx2) AS dx2, avg(dy2) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0 GROUP BY disp.image_id)
+v AS (SELECT disp.image_id, avg(dx0) AS dx0, avg(dy0) AS dy0, avg(dx2) AS dx2, avg(dy2) AS dy2 FROM disp JOIN cl ON cl.image_id = disp.image_id AND cl.bin = floor(1.0 / d / {BIN}::DOUBLE) JOIN ch ON ch.image_id = disp.image_id AND cluster = chosen WHERE d > 0.5 GROUP BY disp.image_id)
 SELECT image_id, 0::BIGINT AS line_number, '# metric=inv_disparity,bin_size={BIN:.4f},cluster_tolerance={TOLERANCE:.4f},total_samples=' || CAST(total AS BIGINT) || ',selected_cluster=' || coalesce('Some(' || chosen || ')', 'None') || ',selected_points=' || CAST(points AS BIGINT) AS line FROM g
 UNION ALL SELECT image_id, 1, printf('# shift_0=(%.3f,%.3f),shift_1=(0.000,0.000),shift_2=(%.3f,%.3f)', coalesce(dx0, 0), coalesce(dy0, 0), coalesce(dx2, 0), coalesce(dy2, 0)) FROM g LEFT JOIN v USING (image_id)
 UNION ALL SELECT image_id, 2, '{surface.CSV_COLUMNS}' FROM g
 UNION ALL SELECT image_id, 3 + bin - first, printf('%d,%.4f,%.4f,%.4f,%d,%.4f,%.2f,%s,%d', bin, bin * {BIN}::DOUBLE, (bin + 1) * {BIN}::DOUBLE, (bin + 0.5) * {BIN}::DOUBLE, n, n / total, n / total * 100, coalesce(CAST(cluster AS VARCHAR), ''), CAST(selected AS INT)) FROM h"""
 )
 def disparity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = surface.histogram(surface.bin_counts(_points(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
+    h = surface.histogram(surface.bin_counts(_far(spark, sf_dir), "image_id", "d", BIN), "image_id", BIN, TOLERANCE)
     return surface.csv_report(h, surface.surface_shifts(_points(spark, sf_dir), BIN, TOLERANCE), "image_id", BIN, TOLERANCE)
 
 
