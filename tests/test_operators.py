@@ -75,6 +75,14 @@ def test_cycle_and_shift(spark):
     assert tuple(shifts)[1:] == (2, 5.0, 2.0, -5.0, -2.0)
 
 
+def test_pair_shift_and_least_displacement(spark):
+    kp = [("a", 0, 0, 10, 20), ("a", 0, 1, 30, 40), ("a", 1, 0, 13, 24), ("a", 1, 1, 33, 44), ("b", 0, 0, 10, 20), ("b", 1, 0, 10.3, 20.4)]
+    keypoints = spark.createDataFrame([(i, f, k, float(x), float(y)) for i, f, k, x, y in kp], "image_id string, frame_index int, kp_index int, x double, y double")
+    m = spark.createDataFrame([("a", 0, 1, 0, 0), ("a", 0, 1, 1, 1), ("b", 0, 1, 0, 0)], "image_id string, frame_a int, frame_b int, index_a int, index_b int")
+    got = surface.pair_shifts(m, keypoints, 0.005, 0.0).orderBy("image_id").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 1, 2, 3.0, 4.0), ("b", 0, 1, 0, 0.0, 0.0)]  # half a pixel and less is no displacement
+
+
 def test_common_canvas_and_crop(spark):
     df = spark.createDataFrame([("a", d, 0.0, 100, 100) for d in (2.0, 0.0, -2.0)], "image_id string, dx double, dy double, width int, height int")
     assert tuple(surface.common_canvas(df).first()) == ("a", 2, 0, 96, 100)
