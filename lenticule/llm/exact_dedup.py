@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, without
+from .common import ONE_MAP, fresh_path, materialise, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # allowFAllocate off: with it, every state partition sets aside some megabytes of disk for its logs; small write buffers, for a
@@ -42,6 +42,9 @@ STORE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+# for a local folder, Spark's other manager starts some processes (readlink and the like) for each file of the state; each shares its
+# executor's memory until it runs, and whoever adds up processes counts that twice. A local rename replaces as a whole with both
+LOCAL_STORE = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def normalised(text: Column) -> Column:
@@ -85,7 +88,7 @@ def _run_stream(headers: DataFrame, base: str) -> DataFrame:
     """Run all headers under ``base`` that it has not seen through the state; the latest value of each digest."""
     spark = headers.sparkSession
     own = spark.newSession()
-    for k, v in {**STORE, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
+    for k, v in {**STORE, **(LOCAL_STORE if base.startswith("file:") else {}), **ONE_MAP, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
         own.conf.set(k, v)
     out = f"{base}/groups"
     stream = dedup_state(own.readStream.schema(headers.schema).parquet(f"{base}/headers/*"), "keep")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import map_rows, materialise, only, without
+from .common import give_back, map_rows, materialise, only, without
 from .graph import components
 
 WORDS = 5
@@ -202,6 +202,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     first = materialise(first.union(accepted(met.select(F.col("node").alias("a"), F.explode("hubs").alias("b")))), "near_links")
     now = materialise(_opened(now.drop("label", "early"), components(first), early).select("h", "node", "n", "pos", "label", "early", *_folds("g")), "near_open")
     early = now.filter("early").drop("early")
+    give_back(df.sparkSession)
 
     def reach(*bits: str) -> list[Column]:
         """Of a group: sizes, most that can be shared from here on, and the bits that all and that any of its marks hold."""

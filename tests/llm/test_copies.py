@@ -221,3 +221,23 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         spark.read.parquet(str(tmp_path / f"some/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
     df.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_memory_is_given_back(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from lenticule.llm import exact_dedup
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.createDataFrame([(i, f"word{i % 3} a b c d e f") for i in range(9)], "doc_id long, text string")
+    before = collections()
+    assert corpus_pipeline.drop_exact_copies(spark, docs, "").count() == 3
+    assert collections() > before
+    # the state of a local folder is kept without a process for each of its files
+    made, new = [], type(spark).newSession
+    monkeypatch.setattr(type(spark), "newSession", lambda self: made.append(new(self)) or made[-1])
+    assert exact_dedup.exact_duplicates(docs, state=f"file://{tmp_path}/state").filter("kept").count() == 3
+    for name, value in exact_dedup.LOCAL_STORE.items():
+        assert made[0].conf.get(name) == value
